@@ -24,7 +24,7 @@ from stockwell.llm.common import materialize
 M = 6
 CONFIDENCE = 0.98
 #: The upper tree is fitted on SAMPLE vectors at most and has MOST_CELLS cells at most, of about CELL_ROWS vectors; every vector is indexed.
-SAMPLE, MOST_CELLS, CELL_ROWS, LEAF = 8192, 4096, 2048, 32
+SAMPLE, MOST_CELLS, CELL_ROWS, LEAF = 8192, 4096, 512, 32
 SEED = 11
 
 
@@ -115,7 +115,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col="vec_id", vector_col="embedding", confidence: float = CONFIDENCE) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean): the k nearest found of each query row, ties to the smaller vec_id.
+    """query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each query row, ties to the smaller vec_id.
 
     Every other usable row is a candidate: vectors that are null, empty, zero, of another length than the
     most frequent one, or hold a null, NaN or infinite component take no part, and neither do null ids.
@@ -142,7 +142,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col="vec_id", v
     ids = some.groupBy("h").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     distinct = rows.groupBy("h").agg(F.first("e").alias("e"))
     total = distinct.count()
-    few = distinct.orderBy("h").limit(SAMPLE).select("e").toPandas()["e"]
+    some = distinct.where(F.pmod(F.xxhash64("h"), F.lit(max(1, total // SAMPLE))) == 0)
+    few = some.orderBy("h").limit(SAMPLE).select("e").toPandas()["e"]
     direction = projection(dim)
     tree = Tree(_matrix(few) @ direction, min(MOST_CELLS, max(1, total // CELL_ROWS)))
     limit = chi_square_quantile(confidence)
