@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockwell.llm.common import WORD, ranked
+from stockwell.llm.common import WORD, materialize, ranked
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -50,6 +50,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    sized = materialize(sized, "mix-sizes")
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keyed = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     rows = ranked(keyed, ["skey"], ["size"], F.substring(F.md5(text_id), 1, 3), ["doc_id"], "at")
