@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +66,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return Scratch(df, tag).df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps, which it does when the driver's garbage is collected.
+
+    Twice, because the last step's plan is held until the next job; removal itself runs in the background.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def ranked(df: DataFrame, part: list[str], order: list[str], sub: Column, tie: list[str], out: str) -> DataFrame:
     """Add `out`, the 1-based exact rank within `part` ordered by (order, sub, tie).
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockwell.llm.common import Scratch, materialize
+from stockwell.llm.common import Scratch, materialize, release
 
 WINDOW = 13
 GRAM = 7
@@ -162,9 +162,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col="doc
     firsts = ids.groupBy("h").agg(F.min("d").alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n"))
     firsts = materialize(firsts, "sub-first")
     bits = sketch_bits(firsts.agg(F.sum("chars")).first()[0] or 0)
-    later = ids.join(firsts.where("n > 1").select("h", "first"), "h").where("d > first").select("d", "x").distinct()
-    flagged = rows.join(later.withColumn("whole", F.lit(True)), ["d", "x"], "left")
-    flagged = materialize(flagged.withColumn("whole", F.coalesce("whole", F.lit(False))), "sub-texts")
+    later = ids.join(firsts.where("n > 1").select("h", "first"), "h").where("d > first").select("d", "x", F.lit(True).alias("whole"))
+    same = ids.join(ids.groupBy("d").count().where("count > 1").select("d"), "d", "left_semi").select("d", "x", F.lit(False).alias("whole"))
+    notes = later.unionByName(same.withColumn("same", F.lit(True)), allowMissingColumns=True)
+    notes = notes.groupBy("d", "x").agg(F.max("whole").alias("whole"), F.coalesce(F.max("same"), F.lit(False)).alias("same"))
+    flagged = rows.join(notes, ["d", "x"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    # The hash of a text is part of a row's identity only where several rows have its id.
+    flagged = flagged.withColumn("x", F.when(F.col("same"), F.col("x")).otherwise(F.lit(0))).drop("same")
+    flagged = materialize(flagged, "sub-texts")
+    release(docs.sparkSession)
     # Later copies are not looked into. An id's repeated rows with equal texts are: they give equal windows.
     single = flagged.where("not whole")
     cells = single.sparkSession.sparkContext.broadcast(repeated_cells(single.select("text"), window, gram, bits))
@@ -194,7 +200,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col="doc
                 if not len(where):
                     continue
                 one, two = (_mix(_sums(a, window, p), 7)[where] for p in _POWERS)
-                got.append(pd.DataFrame({"h1": one.view(np.int64), "h2": (two >> np.uint64(32)).astype(np.int64), "d": d, "x": x, "pos": where.astype(np.int32)}))
+                got.append(pd.DataFrame({"h1": one.view(np.int64), "h2": (two >> np.uint64(32)).astype(np.uint32).view(np.int32), "d": d, "x": x, "pos": where.astype(np.int32)}))
                 size += len(where)
                 if size > 200_000:
                     yield pd.concat(got)
@@ -202,12 +208,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col="doc
             if got:
                 yield pd.concat(got)
 
-    found = Scratch(single.select("d", "x", "text").mapInPandas(candidates, "h1 long, h2 long, d long, x long, pos int"), "sub-found")
+    found = Scratch(single.select("d", "x", "text").mapInPandas(candidates, "h1 long, h2 int, d long, x long, pos int"), "sub-found")
+    release(docs.sparkSession)
     least = found.df.groupBy("h1", "h2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most")
     hits = found.df.join(least, ["h1", "h2"]).where("d > least").groupBy("d", "x").agg(F.collect_set("pos").alias("starts"))
     hits = materialize(hits, "sub-hits")
     found.drop()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished steps
+    release(docs.sparkSession)
     return flagged.join(hits, ["d", "x"], "left").select("doc_id", "text", "carried", "starts", "whole")
 
 
