@@ -6,8 +6,8 @@ a higher-order aggregate. The tokenizer file is a BPE model: its result is not t
 (Viterbi) but that of merging, so the fold goes through the edges by merge rank and joins the two pieces
 that an edge spans at that moment. A unigram fold (Viterbi) is there for unigram piece tables.
 
-Frequent units, MOST_CACHED at most, are encoded once and sent to the executors; all others are encoded
-per document that has them.
+Frequent units, MOST_CACHED at most, are encoded once and sent to the executors as sorted 128-bit hashes
+and ids; all others are encoded per document that has them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,10 +28,13 @@ from stockwell.llm.common import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MOST_CACHED = 1 << 19
+#: Each takes 17 bytes and its ids, about 35 MB in all.
+MOST_CACHED = 1 << 20
+#: Units whose place in the table a worker remembers.
+MEMO = 150_000
 #: Units of up to so many code points keep their boundaries in the bits of one bigint.
 SHORT = 62
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+_LETTER = r"[^\W\d_]"
 
 
 class Pieces:
@@ -46,6 +51,25 @@ class Pieces:
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown, self.size = model.unk_id(), n
         self.longest = max(map(len, self.ids), default=1)
+        self.unit = re.compile(self._unit_pattern())
+
+    def _unit_pattern(self) -> str:
+        """Units end before a space that follows something else, around a line feed (if no piece holds one), and
+        where letters are followed by a mark that no piece has after a letter."""
+        letter = re.compile(_LETTER)
+        marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+        for p in self.ids:
+            for a, b in zip(p, p[1:], strict=False):
+                if letter.match(a):
+                    marks.discard(b)
+                if b == SPACE and a != SPACE or "\n" in (a, b):
+                    raise ValueError(f"a piece reaches over the end of a unit: {p!r}")
+        after = "".join(map(re.escape, sorted(marks)))
+        return rf"{SPACE}*{_LETTER}+(?=[{after}{SPACE}\n]|\Z)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+
+    def units(self, text: str) -> list[str]:
+        """The units of a text, with the leading space that the model adds; joined they are the text. Empty: none."""
+        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, rank (1 is merged first) of the pieces of two code points or more; as many rows as the vocabulary has at most."""
@@ -59,11 +83,6 @@ class Pieces:
         return [self.bytes[b] if b in self.bytes else self.unknown for b in piece.encode()]
 
 
-def units(text: str) -> list[str]:
-    """The units of a text, with the leading space that the model adds; joined they are the text. Empty: none."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 def merge_fold(edges: Column, n: Column) -> Column:
     """Boundaries (array of int, 0 and n included) after merging. edges: array of (rank, s, e), sorted.
 
@@ -130,24 +149,27 @@ def encode_units(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     return grouped.select(*keys, "unit", merge_fold(F.col("edges"), F.col("n")).alias("cuts"))
 
 
-def _count_units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
+def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> DataFrame:
+    """unit: frequent units of the whole table, `most` at most (ties at the limit stay out).
 
-    def out() -> pd.DataFrame:
-        return pd.DataFrame({"unit": pd.Series(list(seen), dtype=object), "n": np.array(list(seen.values()), np.int64)})
+    Counts are lossy: a task forgets, now and then, units that it has met only once since. No result
+    depends on which units are chosen, only how often a unit is encoded anew.
+    """
 
-    for pdf in parts:
-        for text in pdf["text"]:
-            seen.update(units(text))
-            if len(seen) > 400_000:
-                yield out()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for text in _texts(batches):
+            seen.update(pieces.units(text))
+            if len(seen) > 300_000:
+                yield several(seen)
                 seen.clear()
-    yield out()
+        yield several(seen)
 
+    def several(seen: Counter) -> pa.RecordBatch:
+        some = [(u, n) for u, n in seen.items() if n > 1]
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["unit", "n"])
 
-def cached_units(rows: DataFrame, most: int = MOST_CACHED) -> DataFrame:
-    """unit: the most frequent units of the whole table that occur twice at least, `most` at most (ties at the limit stay out)."""
-    counts = rows.select("text").mapInPandas(_count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and length(unit) > 1")
+    counts = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "sp-units")
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("units"))
     above = F.sum("units").over(Window.orderBy(F.desc("n")))
@@ -155,6 +177,80 @@ def cached_units(rows: DataFrame, most: int = MOST_CACHED) -> DataFrame:
     return counts.where(F.col("n") >= (least if least is not None else 2**62)).select("unit")
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    """The texts of batches of one column, few at a time as Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            yield from batch.column(0).slice(lo, 256).to_pylist()
+
+
+def _hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit hashes of units."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(u) for u in some]), ">u8").reshape(-1, 2)
+    return both[:, 1].astype(np.uint64), both[:, 0].astype(np.uint64)
+
+
+class Table:
+    """Ids of known units: hashes sorted by their first half, where each unit's ids start in `ids`, and how many."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(lo, kind="stable")
+        starts = np.cumsum(sizes) - sizes
+        self.memo: dict[str, int] = {}
+        self.lo, self.hi, self.starts, self.sizes, self.ids = lo[order], hi[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), ids
+
+    def find(self, some: list[str]) -> np.ndarray:
+        """The place of each unit, -1 if unknown. Places are remembered for the units met first."""
+        memo = self.memo
+        at = np.array([memo.get(u, -1) for u in some], np.int64)
+        new = np.flatnonzero(at < 0).tolist()
+        if new and len(self.lo):
+            names = [some[i] for i in new]
+            lo, hi = _hashes(names)
+            place = np.minimum(np.searchsorted(self.lo, lo), len(self.lo) - 1)
+            place[(self.lo[place] != lo) | (self.hi[place] != hi)] = -1
+            at[new] = place
+            if len(memo) < MEMO:
+                memo.update((u, p) for u, p in zip(names, place.tolist(), strict=True) if p >= 0)
+        return at
+
+
+def _ids_of_cuts(pieces: Pieces, unit: str, cuts) -> list[int]:
+    if cuts is None:
+        return [i for c in unit for i in pieces.ids_of(c)]
+    return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in pieces.ids_of(unit[a:b])]
+
+
+def cached_table(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Table:
+    """The encodings of the most frequent units, packed on the executors and sorted on the driver."""
+    frequent = cached_units(rows, pieces, most)
+    # Encoding is far more work than reading units, so they are dealt out to many tasks.
+    dealt = frequent.repartition(_tasks(rows.sparkSession), "unit")
+    encoded = dealt.join(encode_units(dealt, [], pieces), "unit", "left")
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                ids = [_ids_of_cuts(pieces, u, c) for u, c in zip(pdf["unit"], pdf["cuts"], strict=True)]
+                lo, hi = _hashes(pdf["unit"].tolist())
+                blobs = (lo, hi, np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32))
+                yield pd.DataFrame([[b.tobytes() for b in blobs]], columns=["lo", "hi", "sizes", "ids"])
+
+    blobs = materialize(encoded.select("unit", "cuts").mapInPandas(pack, "lo binary, hi binary, sizes binary, ids binary"), "sp-table")
+    columns: list[list[bytes]] = [[], [], [], []]
+    for r in blobs.collect():
+        for c, b in zip(columns, r, strict=True):
+            c.append(bytes(b))
+    lo, hi = (np.frombuffer(b"".join(c), np.uint64) for c in columns[:2])
+    sizes, ids = (np.frombuffer(b"".join(c), np.int32) for c in columns[2:])
+    return Table(lo, hi, sizes.astype(np.int64), ids)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_col="text", most_cached: int = MOST_CACHED) -> DataFrame:
     """doc_id, n_pieces, ids for every row of `docs`: the ids of the model's pieces for its whole text.
 
@@ -167,54 +263,58 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("x", F.xxhash64("doc_id", "text"))
     filled = rows.where("text is not null")
-    cached = encode_units(cached_units(filled, most_cached), [], pieces)
-    table = {r.unit: bytes(r.cuts) if r.cuts[-1] < 256 else tuple(r.cuts) for r in cached.toLocalIterator()}
-    shared = spark.sparkContext.broadcast((pieces, table))
-
-    def uncommon(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value[1]
-        for pdf in parts:
-            some = [[u for u in dict.fromkeys(units(t)) if len(u) > 1 and u not in known] for t in pdf["text"]]
-            yield pd.DataFrame({"x": pdf["x"], "units": some})
-
-    rare = filled.select("x", "text").mapInPandas(uncommon, "x long, units array<string>").where("size(units) > 0")
+    shared = spark.sparkContext.broadcast(cached_table(filled, pieces, most_cached))
+
+    def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out = []
+                for t in part.column(0).to_pylist():
+                    some = pieces.units(t)
+                    out.append(list({u for i in np.flatnonzero(known.find(some) < 0).tolist() if len(u := some[i]) > 1}))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(out, pa.list_(pa.string()))], ["x", "units"])
+
+    rare = filled.select("text", "x").mapInArrow(uncommon, "x long, units array<string>").where("size(units) > 0")
     # One row per (row hash, unit); equal rows fall together. What follows stays inside these partitions.
-    rare = rare.repartition("x").dropDuplicates(["x"]).select("x", F.explode("units").alias("unit"))
+    rare = rare.repartition(_tasks(spark), "x").dropDuplicates(["x"]).select("x", F.explode("units").alias("unit"))
     rare = encode_units(rare, ["x"], pieces).groupBy("x").agg(F.collect_list("unit").alias("units"), F.collect_list("cuts").alias("cuts"))
 
-    @F.pandas_udf("n_pieces long, ids array<int>")
-    def assemble(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        pieces, table = shared.value
-        done: dict[str, list[int]] = {}
-
-        def ids(unit: str, cuts) -> list[int]:
-            if cuts is None:
-                return [i for c in unit for i in pieces.ids_of(c)]
-            return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in pieces.ids_of(unit[a:b])]
-
-        for texts, all_units, all_cuts in parts:
-            out = []
-            for text, own, cuts in zip(texts, all_units, all_cuts, strict=True):
-                if text is None:
-                    out.append(None)
-                    continue
-                extra = dict(zip(own, cuts, strict=True)) if own is not None else {}
-                row: list[int] = []
-                for u in units(text):
-                    found = done.get(u)
-                    if found is None:
-                        cut = extra.get(u)
-                        found = ids(u, cut if cut is not None else table.get(u))
-                        if cut is None:  # of the bounded table, or without merges: rare units are not kept
-                            if len(done) > 1 << 18:
-                                done.clear()
-                            done[u] = found
-                    row += found
-                out.append(np.array(row, np.int32))
-            yield pd.DataFrame({"n_pieces": [len(r) if r is not None else 0 for r in out], "ids": pd.Series(out, dtype=object)})
-
-    joined = rows.join(rare, "x", "left").select("doc_id", assemble("text", "units", "cuts").alias("r"))
-    return joined.select("doc_id", "r.*")
+    def encoded(text: str, own, cuts, table: Table) -> np.ndarray:
+        some = pieces.units(text)
+        if not some:
+            return np.zeros(0, np.int32)
+        at = table.find(some)
+        new = np.flatnonzero(at < 0).tolist()
+        extra = dict(zip(own, cuts, strict=True)) if own is not None else {}
+        others = [_ids_of_cuts(pieces, some[i], extra.get(some[i])) for i in new]
+        if len(new) == len(some):
+            return np.array([i for x in others for i in x], np.int32)
+        sizes = table.sizes[at].astype(np.int64)
+        sizes[new] = [len(x) for x in others]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        from_table = np.repeat(table.starts[at] - begins, sizes) + np.arange(ends[-1])
+        for i in new:
+            from_table[begins[i] : ends[i]] = 0
+        out = table.ids[from_table]
+        for i, x in zip(new, others, strict=True):
+            out[begins[i] : ends[i]] = x
+        return out
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts, all_units, all_cuts = (part.column(k).to_pylist() for k in (1, 2, 3))
+                out = [None if t is None else encoded(t, u, c, table) for t, u, c in zip(texts, all_units, all_cuts, strict=True)]
+                sizes = pa.array([0 if r is None else len(r) for r in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(out, pa.list_(pa.int32()))], ["doc_id", "n_pieces", "ids"])
+
+    joined = rows.join(rare, "x", "left").select("doc_id", "text", "units", "cuts")
+    return joined.mapInArrow(assemble, f"doc_id {dict(rows.dtypes)['doc_id']}, n_pieces long, ids array<int>")
 
 
 def decode_ids(ids: Column, model: str = MODEL) -> Column:
