@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from stockwell.plans import flows, joinshapes, reads, telemetry
+
+QUERIES, ORACLES = {}, {}
+for _module in (reads, joinshapes, flows, telemetry):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
