@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -120,8 +120,9 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
     return out
 
 
-def render(digest: Digest) -> str:
-    return ".".join(f"{n:02x}{bits:0{FILTER_BITS // 4}x}" for n, bits in digest)
+def render(digest: Digest) -> bytes:
+    """One byte for the features and FILTER_BITS / 8 bytes per filter; its hex digits are the fingerprint."""
+    return b"".join(bytes([n]) + bits.to_bytes(FILTER_BITS // 8, "big") for n, bits in digest)
 
 
 def likeness(a: Digest, b: Digest) -> float:
@@ -147,16 +148,16 @@ def likeness(a: Digest, b: Digest) -> float:
 def fit_rarity(docs: DataFrame, text_col="text") -> np.ndarray:
     """Ranks of the entropy levels over every window of every text; LEVELS sums reach the driver."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
-        for pdf in parts:
-            total += level_counts([t.encode() for t in pdf["text"]])
+        for part in _small(batches):
+            total += level_counts([t.encode() for t in part.column(0).to_pylist()])
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"level": some, "n": total[some]})
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["level", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null")
     counts = np.zeros(LEVELS, np.int64)
-    for r in rows.mapInPandas(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
         counts[r.level] = r.n
     return rarity(counts)
 
@@ -167,26 +168,26 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _whole(ids: pd.Series) -> list:
-    """Ids, which come as strings so that nulls make no floats of them, as integers and None."""
-    return [None if pd.isna(i) else int(i) for i in ids]
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _compare(ids: list, texts: list[str], nexts: list[str], ranks: np.ndarray) -> pd.DataFrame:
-    """Rows for `ids` and `texts`; nexts[i] follows texts[i]."""
-    edited = [edit(t, n).encode() for t, n in zip(texts, nexts, strict=True)]
-    own = digests([t.encode() for t in texts], ranks)
-    chained = all(nexts[i] is texts[i + 1] for i in range(len(texts) - 1))
-    after = own[1:] + digests([nexts[-1].encode()], ranks) if chained and texts else digests([n.encode() for n in nexts], ranks)
+def _compare(ids: list, texts: list[str], last: str, ranks: np.ndarray) -> list[list]:
+    """Columns of _FIELDS for documents in a row, the last one followed by the text `last`."""
+    edited = [edit(t, n).encode() for t, n in zip(texts, [*texts[1:], last], strict=True)]
+    own = digests([*(t.encode() for t in texts), last.encode()], ranks)
     changed = digests(edited, ranks)
-    return pd.DataFrame({
-        "doc_id": pd.Series(ids, dtype=object), "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-        "fingerprint": [render(d) for d in own], "edited_fingerprint": [render(d) for d in changed],
-        "near_edited": [likeness(a, b) for a, b in zip(own, changed, strict=True)], "near_next": [likeness(a, b) for a, b in zip(own, after, strict=True)],
-    })
+    return [
+        ids, [len(t) for t in texts], [hashlib.sha256(e).hexdigest() for e in edited], [render(d) for d in own[:-1]], [render(d) for d in changed],
+        [likeness(a, b) for a, b in zip(own, changed, strict=False)], [likeness(a, b) for a, b in zip(own, own[1:], strict=False)],
+    ]
 
 
 def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -199,48 +200,48 @@ def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     """
     ranks = docs.sparkSession.sparkContext.broadcast(fit_rarity(docs, text_col))
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, first, ids, texts = TaskContext.get().partitionId(), True, [], []
-
-        def edge(kind: int, i, t: str) -> pd.DataFrame:
-            return pd.DataFrame({"doc_id": [i], "text": [t], "kind": [kind], "pid": [pid]}, dtype=object)
-
-        for pdf in parts:
-            for i, t in zip(_whole(pdf["doc_id"]), pdf["text"], strict=True):
-                if first:
-                    yield edge(1, i, t)
-                    first = False
-                ids.append(i)
-                texts.append(t)
-            lo, size = 0, 0
-            for k in range(len(ids) - 1):
-                size += len(texts[k])
-                if size > 1 << 21 or k == len(ids) - 2:
-                    yield _compare(ids[lo : k + 1], texts[lo : k + 1], texts[lo + 1 : k + 2], ranks.value).assign(kind=0, pid=pid)
-                    lo, size = k + 1, 0
-            ids, texts = ids[lo:], texts[lo:]
-        if ids:
-            yield edge(2, ids[0], texts[0])
-
-    def shaped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in f"{_OUT}, text string, kind int, pid int".split(", ")]
-        for pdf in walk(parts):
-            yield pd.DataFrame({c: pd.Series(pdf[c].tolist() if c in pdf else [None] * len(pdf), dtype=object) for c in names})
-
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for i, t, n in zip(_whole(pdf["doc_id"]), pdf["text"], pdf["following"], strict=True):
-                yield _compare([i], [t], [n], ranks.value)
+    fields = [*_FIELDS, ("text", pa.string()), ("kind", pa.int32()), ("pid", pa.int32())]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """kind 0: results; 1: the partition's first document; 2: its last one, which waits for the next partition."""
+        pid, held = TaskContext.get().partitionId(), None
+
+        def batch(columns: list[list], kind: int) -> pa.RecordBatch:
+            n = len(columns[0])
+            columns = [*columns, *([[None] * n] if len(columns) == len(_FIELDS) else []), [kind] * n, [pid] * n]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+        def edge(kind: int, i, t: str) -> pa.RecordBatch:
+            return batch([[i], *[[None]] * (len(_FIELDS) - 1), [t]], kind)
+
+        for part in _small(batches):
+            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            if held is None:
+                yield edge(1, ids[0], texts[0])
+            else:
+                ids, texts = [held[0], *ids], [held[1], *texts]
+            if len(ids) > 1:
+                yield batch(_compare(ids[:-1], texts[:-1], texts[-1], ranks.value), 0)
+            held = ids[-1], texts[-1]
+        if held is not None:
+            yield edge(2, *held)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _small(batches, 1):
+            i, t, following = (c.to_pylist() for c in part.columns)
+            columns = _compare(i, t, following[0], ranks.value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("x", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("x")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    made = materialize(ordered.mapInPandas(shaped, f"{_OUT}, text string, kind int, pid int"), "digests")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    made = materialize(ordered.mapInArrow(walk, f"{_OUT}, text string, kind int, pid int"), "digests")
     heads = made.where("kind = 1").select("pid", F.col("text").alias("following"))
     pids = heads.select("pid")
     wrap = F.first("pid").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     follows = pids.select(F.col("pid").alias("tail"), F.coalesce(F.lead("pid").over(Window.orderBy("pid")), wrap).alias("pid"))
     tails = made.where("kind = 2").select("doc_id", "text", F.col("pid").alias("tail")).join(follows, "tail").join(heads, "pid")
-    last = tails.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "following").mapInPandas(finish, _OUT)
-    return made.where("kind = 0").select(*last.columns).unionByName(last)
+    last = tails.select("doc_id", "text", "following").mapInArrow(finish, _OUT)
+    done = made.where("kind = 0").select(*last.columns).unionByName(last)
+    return done.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
