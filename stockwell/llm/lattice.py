@@ -30,6 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Each takes 17 bytes and its ids, about 35 MB in all.
 MOST_CACHED = 1 << 20
+#: Beginnings of pieces that tell how long a piece may get.
+PREFIX = 4
 #: Units whose place in the table a worker remembers.
 MEMO = 150_000
 #: Units of up to so many code points keep their boundaries in the bits of one bigint.
@@ -50,12 +52,12 @@ class Pieces:
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown, self.size = model.unk_id(), n
-        self.longest = max(map(len, self.ids), default=1)
-        self.unit = re.compile(self._unit_pattern())
+        after = "".join(map(re.escape, self._marks()))
+        self._mark = re.compile(rf"(?<={_LETTER})[{after}]")
+        self._unit = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
-    def _unit_pattern(self) -> str:
-        """Units end before a space that follows something else, around a line feed (if no piece holds one), and
-        where letters are followed by a mark that no piece has after a letter."""
+    def _marks(self) -> list[str]:
+        """Characters that no piece has after a letter. Pieces must not reach over a space after something else or a line feed."""
         letter = re.compile(_LETTER)
         marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
         for p in self.ids:
@@ -64,12 +66,7 @@ class Pieces:
                     marks.discard(b)
                 if b == SPACE and a != SPACE or "\n" in (a, b):
                     raise ValueError(f"a piece reaches over the end of a unit: {p!r}")
-        after = "".join(map(re.escape, sorted(marks)))
-        return rf"{SPACE}*{_LETTER}+(?=[{after}{SPACE}\n]|\Z)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
-
-    def units(self, text: str) -> list[str]:
-        """The units of a text, with the leading space that the model adds; joined they are the text. Empty: none."""
-        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return sorted(marks)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, rank (1 is merged first) of the pieces of two code points or more; as many rows as the vocabulary has at most."""
@@ -82,36 +79,58 @@ class Pieces:
             return [found]
         return [self.bytes[b] if b in self.bytes else self.unknown for b in piece.encode()]
 
+    def units(self, text: str) -> list[str]:
+        """The units of a text, with the leading space that the model adds; joined they are the text. Empty: none.
+
+        A unit begins at the first of some spaces, at a line feed and after it, and at a mark after a letter.
+        """
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or SPACE in text:
+            found = self._unit.findall(SPACE + text.replace(" ", SPACE))
+            return [v for u in found for v in self._mark.sub(r" \g<0>", u).split(" ")]
+        marked = self._mark.sub(r" \g<0>", text.replace(" ", " " + SPACE))
+        if "\n" in marked:
+            marked = marked.replace("\n", " \n ")
+        return [u for u in (SPACE + marked).split(" ") if u]
+
 
 def merge_fold(edges: Column, n: Column) -> Column:
-    """Boundaries (array of int, 0 and n included) after merging. edges: array of (rank, s, e), sorted.
+    """Boundaries (array of int, 0 and n included) after merging, for n <= SHORT. edges: sorted array of pack()ed bigints.
 
     Merges happen in the order of their ranks, and from left to right: a merge of a lower rank than the last
-    one cannot come up later, as the parts of a piece are pieces of lower ranks than itself.
+    one cannot come up later, as the parts of a piece are pieces of lower ranks than itself. An edge joins
+    if both its ends are boundaries and one boundary is between them. Boundaries are the bits of a bigint.
     """
     one = F.lit(1).cast("long")
     bit = lambda i: F.call_function("shiftleft", one, i)
-    full = bit(n + 1) - 1
 
     def step(m: Column, x: Column) -> Column:
-        ends = bit(x["s"]).bitwiseOR(bit(x["e"]))
-        inner = m.bitwiseAND(bit(x["e"]) - bit(x["s"] + 1))
-        joins = (m.bitwiseAND(ends) == ends) & (F.bit_count(inner) == 1)
+        s = F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        last = bit(x.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        inner = m.bitwiseAND(last - bit(s + 1))
+        joins = (F.bit_count(inner) == 1) & (m.bitwiseAND(last) != 0) & (m.bitwiseAND(bit(s)) != 0)
         return F.when(joins, m.bitwiseXOR(inner)).otherwise(m)
 
-    mask = F.aggregate(edges, full, step)
-    places = F.sequence(F.lit(0), n)
-    short = F.filter(places, lambda i: mask.bitwiseAND(bit(i)) != 0)
+    mask = F.aggregate(edges, bit(n + 1) - 1, step)
+    return F.filter(F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(bit(i)) != 0)
 
-    def step_long(m: Column, x: Column) -> Column:  # a string of 0 and 1 for units beyond the bits of a bigint
+
+def pack(rank: Column, s: Column, e: Column) -> Column:
+    return F.shiftleft(rank.cast("long"), 32) + F.shiftleft(s, 16) + e
+
+
+def long_merge_fold(edges: Column, n: Column) -> Column:
+    """The same for units of any length. edges: sorted array of (rank, s, e). Boundaries are a string of 0 and 1."""
+
+    def step(m: Column, x: Column) -> Column:
         at = lambda i, size: F.substring(m, i + 1, size)
         width = x["e"] - x["s"] - 1
         joins = (at(x["s"], F.lit(1)) == "1") & (at(x["e"], F.lit(1)) == "1") & (F.length(F.replace(at(x["s"] + 1, width), F.lit("0"), F.lit(""))) == 1)
         return F.when(joins, F.overlay(m, F.repeat(F.lit("0"), width), x["s"] + 2)).otherwise(m)
 
-    marks = F.aggregate(edges, F.repeat(F.lit("1"), n + 1), step_long)
-    long = F.filter(places, lambda i: F.substring(marks, i + 1, F.lit(1)) == "1")
-    return F.when(n <= SHORT, short).otherwise(long)
+    marks = F.aggregate(edges, F.repeat(F.lit("1"), n + 1), step)
+    return F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(marks, i + 1, F.lit(1)) == "1")
 
 
 def viterbi_fold(edges: Column, n: Column) -> Column:
@@ -131,29 +150,36 @@ def viterbi_fold(edges: Column, n: Column) -> Column:
     return F.element_at(F.aggregate(edges, start, step), -1)["path"]
 
 
-def lattice(rows: DataFrame, keys: list[str], pieces: DataFrame, longest: int, value: str = "rank") -> DataFrame:
-    """keys, unit, n, s, e, value: the edges of the units of `rows` (keys and unit); units without any have no row."""
-    size = F.length("unit")
-    cut = rows.select(*keys, "unit", size.alias("n")).where("n > 1")
+def lattice(rows: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
+    """keys, n, rank, s, e: the edges of the units of `rows` (keys and unit); units without any have no row."""
+    cut = rows.select(*keys, "unit", F.length("unit").alias("n")).where("n > 1")
     cut = cut.select(*keys, "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("s"))
-    cut = cut.select(*keys, "unit", "n", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("size"))
+    # No piece begins with a prefix that no piece has: few beginnings need all lengths looked up.
+    prefix = F.substring(F.col("unit"), F.col("s") + 1, F.lit(PREFIX))
+    reach = pieces.where(F.length("piece") >= PREFIX).groupBy(F.substring("piece", 1, PREFIX).alias("_prefix")).agg(F.max(F.length("piece")).alias("_reach"))
+    cut = cut.withColumn("_prefix", prefix).join(F.broadcast(reach), "_prefix", "left")
+    size = F.least(F.coalesce("_reach", F.lit(PREFIX - 1)), F.col("n") - F.col("s"))
+    cut = cut.select(*keys, "unit", "n", "s", F.explode(F.sequence(F.lit(2), size)).alias("size"))
     cut = cut.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("size")))
-    return cut.join(F.broadcast(pieces), "piece").select(*keys, "unit", "n", "s", (F.col("s") + F.col("size")).alias("e"), value)
+    return cut.join(F.broadcast(pieces), "piece").select(*keys, "n", "rank", "s", (F.col("s") + F.col("size")).alias("e"))
 
 
 def encode_units(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """keys, unit, cuts: boundaries of the pieces of each unit of several code points that any merge applies to."""
-    edges = lattice(rows, keys, pieces.table(rows.sparkSession), pieces.longest)
-    by_rank = F.array_sort(F.collect_list(F.struct("rank", "s", "e")))
-    grouped = edges.groupBy(*keys, "unit").agg(F.first("n").alias("n"), by_rank.alias("edges"))
-    return grouped.select(*keys, "unit", merge_fold(F.col("edges"), F.col("n")).alias("cuts"))
+    """keys, cuts: boundaries of the pieces of the unit under each key, where any merge applies to it."""
+    table = pieces.table(rows.sparkSession)
+    short = lattice(rows.where(F.length("unit") <= SHORT), keys, table)
+    packed = F.sort_array(F.collect_list(pack(F.col("rank"), F.col("s"), F.col("e"))))
+    short = short.groupBy(*keys).agg(F.max("n").alias("n"), packed.alias("edges"))
+    long = lattice(rows.where(F.length("unit") > SHORT), keys, table)
+    long = long.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "s", "e"))).alias("edges"))
+    done = short.select(*keys, merge_fold(F.col("edges"), F.col("n")).alias("cuts"))
+    return done.unionByName(long.select(*keys, long_merge_fold(F.col("edges"), F.col("n")).alias("cuts")))
 
 
 def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> DataFrame:
-    """unit: frequent units of the whole table, `most` at most (ties at the limit stay out).
+    """unit: the most frequent units of the whole table that occur twice at least, `most` at most (ties at the limit stay out).
 
-    Counts are lossy: a task forgets, now and then, units that it has met only once since. No result
-    depends on which units are chosen, only how often a unit is encoded anew.
+    No result depends on which units are chosen, only how often a unit is encoded anew.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +192,10 @@ def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Da
         yield several(seen)
 
     def several(seen: Counter) -> pa.RecordBatch:
-        some = [(u, n) for u, n in seen.items() if n > 1]
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["unit", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
     counts = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "sp-units")
+    counts = materialize(counts.where("n > 1"), "sp-units")
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("units"))
     above = F.sum("units").over(Window.orderBy(F.desc("n")))
     least = levels.withColumn("above", above).where(F.col("above") <= most).agg(F.min("n")).first()[0]
@@ -227,7 +252,7 @@ def cached_table(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Ta
     frequent = cached_units(rows, pieces, most)
     # Encoding is far more work than reading units, so they are dealt out to many tasks.
     dealt = frequent.repartition(_tasks(rows.sparkSession), "unit")
-    encoded = dealt.join(encode_units(dealt, [], pieces), "unit", "left")
+    encoded = dealt.join(encode_units(dealt, ["unit"], pieces), "unit", "left")
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -277,9 +302,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(out, pa.list_(pa.string()))], ["x", "units"])
 
     rare = filled.select("text", "x").mapInArrow(uncommon, "x long, units array<string>").where("size(units) > 0")
-    # One row per (row hash, unit); equal rows fall together. What follows stays inside these partitions.
-    rare = rare.repartition(_tasks(spark), "x").dropDuplicates(["x"]).select("x", F.explode("units").alias("unit"))
-    rare = encode_units(rare, ["x"], pieces).groupBy("x").agg(F.collect_list("unit").alias("units"), F.collect_list("cuts").alias("cuts"))
+    # One row per (row hash, place in its units); equal rows fall together. The lattice stays inside these partitions.
+    rare = materialize(rare.repartition(_tasks(spark), "x").dropDuplicates(["x"]), "sp-rare")
+    cuts = encode_units(rare.repartition(_tasks(spark), "x").select("x", F.posexplode("units").alias("i", "unit")), ["x", "i"], pieces)
+    cuts = cuts.groupBy("x").agg(F.collect_list(F.struct("i", "cuts")).alias("cuts"))
+    rare = rare.join(cuts, "x", "left")
 
     def encoded(text: str, own, cuts, table: Table) -> np.ndarray:
         some = pieces.units(text)
@@ -287,7 +314,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
             return np.zeros(0, np.int32)
         at = table.find(some)
         new = np.flatnonzero(at < 0).tolist()
-        extra = dict(zip(own, cuts, strict=True)) if own is not None else {}
+        extra = {own[c["i"]]: c["cuts"] for c in cuts or ()}
         others = [_ids_of_cuts(pieces, some[i], extra.get(some[i])) for i in new]
         if len(new) == len(some):
             return np.array([i for x in others for i in x], np.int32)
@@ -310,8 +337,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
                 part = batch.slice(lo, 256)
                 texts, all_units, all_cuts = (part.column(k).to_pylist() for k in (1, 2, 3))
                 out = [None if t is None else encoded(t, u, c, table) for t, u, c in zip(texts, all_units, all_cuts, strict=True)]
-                sizes = pa.array([0 if r is None else len(r) for r in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(out, pa.list_(pa.int32()))], ["doc_id", "n_pieces", "ids"])
+                sizes = np.array([0 if r is None else len(r) for r in out], np.int64)
+                flat = np.concatenate([r for r in out if r is not None] or [np.zeros(0, np.int32)])
+                ends = pa.array([None if r is None else e for r, e in zip(out, np.cumsum(sizes) - sizes, strict=True)] + [len(flat)], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))], ["doc_id", "n_pieces", "ids"])
 
     joined = rows.join(rare, "x", "left").select("doc_id", "text", "units", "cuts")
     return joined.mapInArrow(assemble, f"doc_id {dict(rows.dtypes)['doc_id']}, n_pieces long, ids array<int>")
