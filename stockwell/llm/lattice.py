@@ -95,6 +95,11 @@ class Pieces:
         return [u for u in (SPACE + marked).split(" ") if u]
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often the lambda functions in `use` read it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def merge_fold(edges: Column, n: Column) -> Column:
     """Boundaries (array of int, 0 and n included) after merging, for n <= SHORT. edges: sorted array of pack()ed bigints.
 
@@ -113,7 +118,7 @@ def merge_fold(edges: Column, n: Column) -> Column:
         return F.when(joins, m.bitwiseXOR(inner)).otherwise(m)
 
     mask = F.aggregate(edges, bit(n + 1) - 1, step)
-    return F.filter(F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(bit(i)) != 0)
+    return _once(mask, lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: m.bitwiseAND(bit(i)) != 0))
 
 
 def pack(rank: Column, s: Column, e: Column) -> Column:
@@ -130,7 +135,7 @@ def long_merge_fold(edges: Column, n: Column) -> Column:
         return F.when(joins, F.overlay(m, F.repeat(F.lit("0"), width), x["s"] + 2)).otherwise(m)
 
     marks = F.aggregate(edges, F.repeat(F.lit("1"), n + 1), step)
-    return F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(marks, i + 1, F.lit(1)) == "1")
+    return _once(marks, lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(m, i + 1, F.lit(1)) == "1"))
 
 
 def viterbi_fold(edges: Column, n: Column) -> Column:
