@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockwell.llm.common import materialize
+from stockwell.llm.common import Scratch, materialize, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -267,11 +267,13 @@ def cached_table(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Ta
                 blobs = (lo, hi, np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32))
                 yield pd.DataFrame([[b.tobytes() for b in blobs]], columns=["lo", "hi", "sizes", "ids"])
 
-    blobs = materialize(encoded.select("unit", "cuts").mapInPandas(pack, "lo binary, hi binary, sizes binary, ids binary"), "sp-table")
+    release(rows.sparkSession)
+    blobs = Scratch(encoded.select("unit", "cuts").mapInPandas(pack, "lo binary, hi binary, sizes binary, ids binary"), "sp-table")
     columns: list[list[bytes]] = [[], [], [], []]
-    for r in blobs.collect():
+    for r in blobs.df.collect():
         for c, b in zip(columns, r, strict=True):
             c.append(bytes(b))
+    blobs.drop()
     lo, hi = (np.frombuffer(b"".join(c), np.uint64) for c in columns[:2])
     sizes, ids = (np.frombuffer(b"".join(c), np.int32) for c in columns[2:])
     return Table(lo, hi, sizes.astype(np.int64), ids)
@@ -294,6 +296,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
     rows = rows.withColumn("x", F.xxhash64("doc_id", "text"))
     filled = rows.where("text is not null")
     shared = spark.sparkContext.broadcast(cached_table(filled, pieces, most_cached))
+    release(spark)
 
     def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
