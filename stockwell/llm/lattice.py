@@ -7,7 +7,8 @@ a higher-order aggregate. The tokenizer file is a BPE model: its result is not t
 that an edge spans at that moment. A unigram fold (Viterbi) is there for unigram piece tables.
 
 Frequent units, MOST_CACHED at most, are encoded once and sent to the executors as sorted 128-bit hashes
-and ids; all others are encoded per document that has them.
+and ids. One pass over the texts turns them into packed ids with holes for all other units; those units
+are dealt out beside their document's packed ids, go through the lattice there, and fill the holes.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +34,8 @@ SPACE = "▁"
 MOST_CACHED = 1 << 20
 #: Beginnings of pieces that tell how long a piece may get.
 PREFIX = 4
-#: Units whose place in the table a worker remembers.
-MEMO = 150_000
+#: Words whose ids a worker remembers.
+MEMO = 200_000
 #: Units of up to so many code points keep their boundaries in the bits of one bigint.
 SHORT = 62
 _LETTER = r"[^\W\d_]"
@@ -52,6 +54,9 @@ class Pieces:
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown, self.size = model.unk_id(), n
+        #: How ids are packed, and the number that stands for a unit that is not encoded yet.
+        self.dtype = np.dtype("<u2" if n < 0xFFFF else "<u4")
+        self.hole = int(np.iinfo(self.dtype).max)
         after = "".join(map(re.escape, self._marks()))
         self._mark = re.compile(rf"(?<={_LETTER})[{after}]")
         self._unit = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -79,20 +84,27 @@ class Pieces:
             return [found]
         return [self.bytes[b] if b in self.bytes else self.unknown for b in piece.encode()]
 
-    def units(self, text: str) -> list[str]:
-        """The units of a text, with the leading space that the model adds; joined they are the text. Empty: none.
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, with the leading space that the model adds; joined they are the text. Empty: none.
 
-        A unit begins at the first of some spaces, at a line feed and after it, and at a mark after a letter.
+        A word begins at the first of some spaces, at a line feed and after it.
         """
         if not text:
             return []
         if "  " in text or text[0] == " " or SPACE in text:
-            found = self._unit.findall(SPACE + text.replace(" ", SPACE))
-            return [v for u in found for v in self._mark.sub(r" \g<0>", u).split(" ")]
-        marked = self._mark.sub(r" \g<0>", text.replace(" ", " " + SPACE))
-        if "\n" in marked:
-            marked = marked.replace("\n", " \n ")
-        return [u for u in (SPACE + marked).split(" ") if u]
+            return self._unit.findall(SPACE + text.replace(" ", SPACE))
+        spaced = SPACE + text.replace(" ", " " + SPACE)
+        return [w for w in spaced.replace("\n", " \n ").split(" ") if w] if "\n" in spaced else spaced.split(" ")
+
+    def split(self, word: str) -> list[str]:
+        """The units of a word: one begins at each mark after a letter as well."""
+        return self._mark.sub(r" \g<0>", word).split(" ")
+
+    def units(self, text: str) -> list[str]:
+        return [u for w in self.words(text) for u in self.split(w)]
 
 
 def _once(value: Column, use) -> Column:
@@ -156,29 +168,38 @@ def viterbi_fold(edges: Column, n: Column) -> Column:
 
 
 def lattice(rows: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """keys, n, rank, s, e: the edges of the units of `rows` (keys and unit); units without any have no row."""
-    cut = rows.select(*keys, "unit", F.length("unit").alias("n")).where("n > 1")
-    cut = cut.select(*keys, "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("s"))
+    """The edges of the units of `rows`: keys, n, rank, s, e, and in one row of each unit all other columns of `rows`.
+
+    That row has no edge where the unit's first two code points are no piece, and where `unit` is null; units
+    of one code point have no edges. The other columns are null in the other rows. Nothing is shuffled.
+    """
+    others = [c for c in rows.columns if c not in (*keys, "unit")]
+    cut = rows.withColumn("n", F.length("unit"))
+    cut = cut.select(*keys, "unit", "n", *others, F.explode_outer(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 2))).alias("s"))
     # No piece begins with a prefix that no piece has: few beginnings need all lengths looked up.
     prefix = F.substring(F.col("unit"), F.col("s") + 1, F.lit(PREFIX))
     reach = pieces.where(F.length("piece") >= PREFIX).groupBy(F.substring("piece", 1, PREFIX).alias("_prefix")).agg(F.max(F.length("piece")).alias("_reach"))
     cut = cut.withColumn("_prefix", prefix).join(F.broadcast(reach), "_prefix", "left")
     size = F.least(F.coalesce("_reach", F.lit(PREFIX - 1)), F.col("n") - F.col("s"))
-    cut = cut.select(*keys, "unit", "n", "s", F.explode(F.sequence(F.lit(2), size)).alias("size"))
+    size = F.when(F.col("s").isNotNull(), F.sequence(F.lit(2), size))
+    cut = cut.select(*keys, "unit", "n", *others, "s", F.explode_outer(size).alias("size"))
     cut = cut.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("size")))
-    return cut.join(F.broadcast(pieces), "piece").select(*keys, "n", "rank", "s", (F.col("s") + F.col("size")).alias("e"))
+    first = F.col("s").isNull() | (F.col("s") == 0) & (F.col("size") == 2)
+    edges = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("rank").isNotNull() | first)
+    return edges.select(*keys, "n", "rank", "s", (F.col("s") + F.col("size")).alias("e"), *[F.when(first, F.col(c)).alias(c) for c in ["unit", *others]])
 
 
 def encode_units(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """keys, cuts: boundaries of the pieces of the unit under each key, where any merge applies to it."""
-    table = pieces.table(rows.sparkSession)
-    short = lattice(rows.where(F.length("unit") <= SHORT), keys, table)
-    packed = F.sort_array(F.collect_list(pack(F.col("rank"), F.col("s"), F.col("e"))))
-    short = short.groupBy(*keys).agg(F.max("n").alias("n"), packed.alias("edges"))
-    long = lattice(rows.where(F.length("unit") > SHORT), keys, table)
-    long = long.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "s", "e"))).alias("edges"))
-    done = short.select(*keys, merge_fold(F.col("edges"), F.col("n")).alias("cuts"))
-    return done.unionByName(long.select(*keys, long_merge_fold(F.col("edges"), F.col("n")).alias("cuts")))
+    """The rows of `rows`, keys being unique, with cuts: the boundaries of the pieces of `unit`; null where no merge applies to it."""
+    others = [c for c in rows.columns if c not in keys]
+    edges = lattice(rows, keys, pieces.table(rows.sparkSession))
+    few = F.col("n") <= SHORT
+    short = F.when(few & F.col("rank").isNotNull(), pack(F.col("rank"), F.col("s"), F.col("e")))
+    long = F.when(~few & F.col("rank").isNotNull(), F.struct("rank", "s", "e"))
+    carried = [F.first(c, ignorenulls=True).alias(c) for c in others]
+    units = edges.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(short)).alias("short"), F.array_sort(F.collect_list(long)).alias("long"), *carried)
+    cuts = F.when(F.size("short") > 0, merge_fold(F.col("short"), F.col("n"))).when(F.size("long") > 0, long_merge_fold(F.col("long"), F.col("n")))
+    return units.select(*keys, *others, cuts.alias("cuts"))
 
 
 def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> DataFrame:
@@ -190,14 +211,18 @@ def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Da
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for text in _texts(batches):
-            seen.update(pieces.units(text))
+            seen.update(pieces.words(text))
             if len(seen) > 300_000:
                 yield several(seen)
                 seen.clear()
         yield several(seen)
 
     def several(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+        units: Counter = Counter()
+        for word, n in seen.items():
+            for u in pieces.split(word):
+                units[u] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
 
     counts = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where("n > 1"), "sp-units")
@@ -222,28 +247,54 @@ def _hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Ids of known units: hashes sorted by their first half, where each unit's ids start in `ids`, and how many."""
+    """Packed ids of known units: hashes sorted by their first half, where each unit's ids start in `ids`, and how many."""
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(lo, kind="stable")
         starts = np.cumsum(sizes) - sizes
-        self.memo: dict[str, int] = {}
-        self.lo, self.hi, self.starts, self.sizes, self.ids = lo[order], hi[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), ids
-
-    def find(self, some: list[str]) -> np.ndarray:
-        """The place of each unit, -1 if unknown. Places are remembered for the units met first."""
+        self.memo: dict[str, bytes] = {}
+        self.lo, self.hi, self.starts, self.sizes = lo[order], hi[order], starts[order].astype(np.int32), sizes[order].astype(np.int32)
+        self.ids, self.width = ids.tobytes(), ids.itemsize
+
+    def find(self, some: list[str]) -> list[bytes | None]:
+        """The packed ids of each unit, None if unknown."""
+        if not some or not len(self.lo):
+            return [None] * len(some)
+        lo, hi = _hashes(some)
+        at = np.minimum(np.searchsorted(self.lo, lo), len(self.lo) - 1)
+        known = (self.lo[at] == lo) & (self.hi[at] == hi)
+        starts = self.starts[at].astype(np.int64) * self.width
+        ends = starts + self.sizes[at].astype(np.int64) * self.width
+        return [self.ids[a:b] if k else None for a, b, k in zip(starts.tolist(), ends.tolist(), known.tolist(), strict=True)]
+
+    def encode(self, pieces: Pieces, text: str) -> tuple[bytes, list[int], list[str]]:
+        """The packed ids of a text with holes for unknown units, the number of the unit of each hole, and those units."""
         memo = self.memo
-        at = np.array([memo.get(u, -1) for u in some], np.int64)
-        new = np.flatnonzero(at < 0).tolist()
-        if new and len(self.lo):
-            names = [some[i] for i in new]
-            lo, hi = _hashes(names)
-            place = np.minimum(np.searchsorted(self.lo, lo), len(self.lo) - 1)
-            place[(self.lo[place] != lo) | (self.hi[place] != hi)] = -1
-            at[new] = place
-            if len(memo) < MEMO:
-                memo.update((u, p) for u, p in zip(names, place.tolist(), strict=True) if p >= 0)
-        return at
+        words = pieces.words(text)
+        new = list({w for w in words if w not in memo})
+        if not new:
+            return b"".join(map(memo.__getitem__, words)), [], []
+        parts = [pieces.split(w) for w in new]
+        found = iter(self.find([u for p in parts for u in p]))
+        hole, here, gaps = pieces.pack([pieces.hole]), {}, {}
+        for word, own in zip(new, parts, strict=True):
+            out, missing = [], []
+            for u in own:
+                ids = next(found)
+                if ids is None and len(u) == 1:
+                    ids = pieces.pack(pieces.ids_of(u))
+                if ids is None:
+                    missing.append(u)
+                out.append(hole if ids is None else ids)
+            here[word] = b"".join(out)
+            if missing:
+                gaps[word] = missing
+        units = {u: i for i, u in enumerate(dict.fromkeys(u for m in gaps.values() for u in m))}
+        places = [units[u] for w in words if w in gaps for u in gaps[w]] if gaps else []
+        packed = b"".join([memo[w] if w in memo else here[w] for w in words])
+        if len(memo) < MEMO:
+            memo.update((w, b) for w, b in here.items() if w not in gaps)
+        return packed, places, list(units)
 
 
 def _ids_of_cuts(pieces: Pieces, unit: str, cuts) -> list[int]:
@@ -257,14 +308,14 @@ def cached_table(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Ta
     frequent = cached_units(rows, pieces, most)
     # Encoding is far more work than reading units, so they are dealt out to many tasks.
     dealt = frequent.repartition(_tasks(rows.sparkSession), "unit")
-    encoded = dealt.join(encode_units(dealt, ["unit"], pieces), "unit", "left")
+    encoded = encode_units(dealt.withColumn("u", F.col("unit")), ["u"], pieces)
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
                 ids = [_ids_of_cuts(pieces, u, c) for u, c in zip(pdf["unit"], pdf["cuts"], strict=True)]
                 lo, hi = _hashes(pdf["unit"].tolist())
-                blobs = (lo, hi, np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32))
+                blobs = (lo, hi, np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], pieces.dtype))
                 yield pd.DataFrame([[b.tobytes() for b in blobs]], columns=["lo", "hi", "sizes", "ids"])
 
     release(rows.sparkSession)
@@ -275,7 +326,7 @@ def cached_table(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Ta
             c.append(bytes(b))
     blobs.drop()
     lo, hi = (np.frombuffer(b"".join(c), np.uint64) for c in columns[:2])
-    sizes, ids = (np.frombuffer(b"".join(c), np.int32) for c in columns[2:])
+    sizes, ids = (np.frombuffer(b"".join(c), t) for c, t in zip(columns[2:], (np.int32, pieces.dtype), strict=True))
     return Table(lo, hi, sizes.astype(np.int64), ids)
 
 
@@ -293,65 +344,63 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
     spark = docs.sparkSession
     pieces = Pieces(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("x", F.xxhash64("doc_id", "text"))
-    filled = rows.where("text is not null")
-    shared = spark.sparkContext.broadcast(cached_table(filled, pieces, most_cached))
+    id_type = dict(rows.dtypes)["doc_id"]
+    shared = spark.sparkContext.broadcast(cached_table(rows.where("text is not null"), pieces, most_cached))
     release(spark)
 
-    def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def with_holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row with the packed ids of each text, and one for each of its units that is not in the table."""
+        table, small = shared.value, zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out = []
-                for t in part.column(0).to_pylist():
-                    some = pieces.units(t)
-                    out.append(list({u for i in np.flatnonzero(known.find(some) < 0).tolist() if len(u := some[i]) > 1}))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(out, pa.list_(pa.string()))], ["x", "units"])
-
-    rare = filled.select("text", "x").mapInArrow(uncommon, "x long, units array<string>").where("size(units) > 0")
-    # One row per (row hash, place in its units); equal rows fall together. The lattice stays inside these partitions.
-    rare = materialize(rare.repartition(_tasks(spark), "x").dropDuplicates(["x"]), "sp-rare")
-    cuts = encode_units(rare.repartition(_tasks(spark), "x").select("x", F.posexplode("units").alias("i", "unit")), ["x", "i"], pieces)
-    cuts = cuts.groupBy("x").agg(F.collect_list(F.struct("i", "cuts")).alias("cuts"))
-    rare = rare.join(cuts, "x", "left")
-
-    def encoded(text: str, own, cuts, table: Table) -> np.ndarray:
-        some = pieces.units(text)
-        if not some:
-            return np.zeros(0, np.int32)
-        at = table.find(some)
-        new = np.flatnonzero(at < 0).tolist()
-        extra = {own[c["i"]]: c["cuts"] for c in cuts or ()}
-        others = [_ids_of_cuts(pieces, some[i], extra.get(some[i])) for i in new]
-        if len(new) == len(some):
-            return np.array([i for x in others for i in x], np.int32)
-        sizes = table.sizes[at].astype(np.int64)
-        sizes[new] = [len(x) for x in others]
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
-        from_table = np.repeat(table.starts[at] - begins, sizes) + np.arange(ends[-1])
-        for i in new:
-            from_table[begins[i] : ends[i]] = 0
-        out = table.ids[from_table]
-        for i, x in zip(new, others, strict=True):
-            out[begins[i] : ends[i]] = x
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                own, numbers, at, units, packed, places = [], [], [], [], [], []
+                for k, (x, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    ids, holes, missing = (None, None, ()) if text is None else table.encode(pieces, text)
+                    own += [x] * (1 + len(missing))
+                    numbers += [k, *[None] * len(missing)]
+                    at += [-1, *range(len(missing))]
+                    units += [None, *missing]
+                    packed += [None if ids is None else small.compress(ids), *[None] * len(missing)]
+                    places += [holes or None, *[None] * len(missing)]
+                columns = [pa.array(own, pa.int64()), part.column(0).take(pa.array(numbers, pa.int32())), pa.array(at, pa.int32())]
+                columns += [pa.array(units, pa.string()), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["x", "doc_id", "i", "unit", "packed", "places"])
+
+    # The number of a row, the same when its part of the input is read again.
+    numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("x"), "text")
+    holed = numbered.mapInArrow(with_holes, f"x long, doc_id {id_type}, i int, unit string, packed binary, places array<int>")
+    # The one shuffle of what texts become: the lattice and both groupings stay inside these partitions.
+    filled = encode_units(holed.repartition(_tasks(spark), "x"), ["x", "i"], pieces)
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)
+    filled = filled.groupBy("x").agg(one("doc_id"), one("packed"), one("places"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "unit", "cuts"))).alias("units"))
+
+    def ids_of(packed: bytes, places, units) -> np.ndarray:
+        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), pieces.dtype)
+        if not places:
+            return ids.astype(np.int32)
+        own = {u["i"]: np.array(_ids_of_cuts(pieces, u["unit"], u["cuts"]), np.int32) for u in units}
+        fill = [own[p] for p in places]
+        holes = np.flatnonzero(ids == pieces.hole)
+        sizes = np.ones(len(ids), np.int64)
+        sizes[holes] = [len(f) for f in fill]
+        out = np.repeat(ids.astype(np.int32), sizes)
+        begins = (np.cumsum(sizes) - sizes)[holes].tolist()
+        for a, f in zip(begins, fill, strict=True):
+            out[a : a + len(f)] = f
         return out
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts, all_units, all_cuts = (part.column(k).to_pylist() for k in (1, 2, 3))
-                out = [None if t is None else encoded(t, u, c, table) for t, u, c in zip(texts, all_units, all_cuts, strict=True)]
+                out = [None if b is None else ids_of(b, p, u) for b, p, u in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
                 sizes = np.array([0 if r is None else len(r) for r in out], np.int64)
                 flat = np.concatenate([r for r in out if r is not None] or [np.zeros(0, np.int32)])
                 ends = pa.array([None if r is None else e for r, e in zip(out, np.cumsum(sizes) - sizes, strict=True)] + [len(flat)], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))], ["doc_id", "n_pieces", "ids"])
 
-    joined = rows.join(rare, "x", "left").select("doc_id", "text", "units", "cuts")
-    return joined.mapInArrow(assemble, f"doc_id {dict(rows.dtypes)['doc_id']}, n_pieces long, ids array<int>")
+    return filled.select("doc_id", "packed", "places", "units").mapInArrow(assemble, f"doc_id {id_type}, n_pieces long, ids array<int>")
 
 
 def decode_ids(ids: Column, model: str = MODEL) -> Column:
