@@ -35,7 +35,7 @@ MOST_CACHED = 1 << 20
 #: Beginnings of pieces that tell how long a piece may get.
 PREFIX = 4
 #: Words whose ids a worker remembers.
-MEMO = 200_000
+MEMO = 400_000
 #: Units of up to so many code points keep their boundaries in the bits of one bigint.
 SHORT = 62
 _LETTER = r"[^\W\d_]"
@@ -58,7 +58,7 @@ class Pieces:
         self.dtype = np.dtype("<u2" if n < 0xFFFF else "<u4")
         self.hole = int(np.iinfo(self.dtype).max)
         after = "".join(map(re.escape, self._marks()))
-        self._mark = re.compile(rf"(?<={_LETTER})[{after}]")
+        self._mark = re.compile(rf"[{after}](?<={_LETTER}.)")
         self._unit = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
     def _marks(self) -> list[str]:
@@ -101,7 +101,7 @@ class Pieces:
 
     def split(self, word: str) -> list[str]:
         """The units of a word: one begins at each mark after a letter as well."""
-        return self._mark.sub(r" \g<0>", word).split(" ")
+        return [word] if word[1:].isalpha() else self._mark.sub(r" \g<0>", word).split(" ")
 
     def units(self, text: str) -> list[str]:
         return [u for w in self.words(text) for u in self.split(w)]
@@ -218,10 +218,10 @@ def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Da
         yield several(seen)
 
     def several(seen: Counter) -> pa.RecordBatch:
-        units: Counter = Counter()
+        units: dict[str, int] = {}
         for word, n in seen.items():
             for u in pieces.split(word):
-                units[u] += n
+                units[u] = units.get(u, 0) + n
         return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
 
     counts = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -271,9 +271,11 @@ class Table:
         """The packed ids of a text with holes for unknown units, the number of the unit of each hole, and those units."""
         memo = self.memo
         words = pieces.words(text)
-        new = list({w for w in words if w not in memo})
-        if not new:
-            return b"".join(map(memo.__getitem__, words)), [], []
+        packed = list(map(memo.get, words))
+        if None not in packed:
+            return b"".join(packed), [], []
+        gone = [k for k, b in enumerate(packed) if b is None]
+        new = list({words[k] for k in gone})
         parts = [pieces.split(w) for w in new]
         found = iter(self.find([u for p in parts for u in p]))
         hole, here, gaps = pieces.pack([pieces.hole]), {}, {}
@@ -290,11 +292,12 @@ class Table:
             if missing:
                 gaps[word] = missing
         units = {u: i for i, u in enumerate(dict.fromkeys(u for m in gaps.values() for u in m))}
-        places = [units[u] for w in words if w in gaps for u in gaps[w]] if gaps else []
-        packed = b"".join([memo[w] if w in memo else here[w] for w in words])
+        places = [units[u] for k in gone if words[k] in gaps for u in gaps[words[k]]] if gaps else []
+        for k in gone:
+            packed[k] = here[words[k]]
         if len(memo) < MEMO:
             memo.update((w, b) for w, b in here.items() if w not in gaps)
-        return packed, places, list(units)
+        return b"".join(packed), places, list(units)
 
 
 def _ids_of_cuts(pieces: Pieces, unit: str, cuts) -> list[int]:
