@@ -26,6 +26,10 @@ from stockwell.llm.components import components
 BITS = 64
 #: Shingles unpacked to bits at a time, which bounds memory on very long texts.
 BLOCK = 16_384
+#: Members of a block when the texts of a large bucket are compared with each other.
+BLOCK_MEMBERS = 256
+#: Cells whose parities tell unlike sets apart; a power of two and a multiple of 64.
+PARITY_BITS = 2048
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
@@ -153,14 +157,80 @@ def view_fingerprints(hashes: np.ndarray, views: int) -> list[int]:
     return out
 
 
+def _roots(nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """k, root of every k of `nodes`: the smallest node that `edges` reach from it."""
+    if edges is None:
+        return nodes.withColumn("root", F.col("k"))
+    roots = components(edges)
+    return materialize(nodes.join(roots, nodes.k == roots.node, "left").select("k", F.coalesce("root", "k").alias("root")), "near-roots")
+
+
+def linked_pairs(keys: list, labels: list, sets: list[np.ndarray], similarity: float) -> list[tuple]:
+    """Links that connect whatever is alike among `sets` and has different labels, each checked exactly.
+
+    Every pair is considered. Parities of the hashes in PARITY_BITS cells differ in no more cells than the sets
+    differ in hashes, so pairs whose parities differ too much, or whose sizes do, cannot be alike.
+    """
+    label = np.unique(labels, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    cells = np.zeros((len(sets), PARITY_BITS), np.uint8)
+    for row, x in zip(cells, sets, strict=True):
+        row[:] = np.bincount((x & (PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    words = np.packbits(cells, axis=1).view(np.uint64)
+    out = []
+    for i in range(len(sets) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        small, large = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+        rest = rest[(small > 0) & (small >= similarity * large - 1e-9)]
+        apart = np.bitwise_count(words[rest] ^ words[i]).sum(1, dtype=np.int64)
+        rest = rest[apart <= (1 - similarity) / (1 + similarity) * (size[rest] + size[i]) + 1e-6]
+        for j in rest.tolist():
+            if label[j] != label[i]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= similarity * (size[i] + size[j] - common) - 1e-9:
+                    out.append((keys[i], keys[j]))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _cross_links(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, done: int) -> DataFrame:
+    """a, b: links that connect all alike members of each bucket (t, key) of `members` that have different roots.
+
+    Buckets of up to `done` members have been compared already, and of buckets with the same members one
+    is. In large ones, the members connected to the smallest (main) are not compared among themselves, and
+    all others meet in blocks, of which each pair is a group of its own.
+    """
+    by = ["t", "key"]
+    named = members.join(roots, "k")
+    same = F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")
+    mixed = named.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min_by("root", "k").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same)
+    mixed = mixed.where((F.col("n") > done) & (F.col("lo") != F.col("hi")))
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min(F.struct(*by, "main")).alias("one")).select("one.*", "n")
+    rest = materialize(named.join(mixed, by).withColumn("is_main", F.col("root") == F.col("main")), "near-mixed")
+    sides = rest.groupBy(*by).agg(F.count_if("is_main").alias("m"), F.count_if(~F.col("is_main")).alias("o"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK_MEMBERS)).cast("int")
+    rest = rest.join(sides.select(*by, blocks("m").alias("m"), blocks("o").alias("o")), by)
+    own = F.pmod(F.xxhash64("k"), F.when(F.col("is_main"), F.col("m")).otherwise(F.col("o"))).cast("int")
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    main = F.transform(upto("o"), lambda j: cell(1, F.col("own"), j))
+    other = F.concat(F.transform(upto("m"), lambda i: cell(1, i, F.col("own"))), F.transform(upto("o"), lambda j: cell(2, F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
+    where = F.when(F.col("n") <= 2 * BLOCK_MEMBERS, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("is_main"), main).otherwise(other)
+    rest = rest.withColumn("own", own).select(*by, "k", "root", F.explode(where).alias("cell")).join(sets, "k")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(linked_pairs(pdf["k"].tolist(), pdf["root"].tolist(), pdf["s"].tolist(), similarity), columns=["a", "b"], dtype="int64")
+
+    return rest.groupBy(*by, "cell.kind", "cell.x", "cell.y").applyInPandas(compare, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, radius: int = 1, rounds: int = 6, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, component_id, text_key for every row of `docs`: groups of texts whose shingle sets have a Jaccard similarity >= `similarity`.
 
     Candidates share the masked key of a view (see view_fingerprints; a pair of similarity 0.8 is missed by
-    all 12 with a chance of 0.0002). In each bucket every member is compared, exactly, with the smallest
-    and the largest one, never with all; those linked to a smaller text leave, and the rest meet
-    again. Buckets that keep more than three members that are not alike (a passage that many texts share)
-    are split by the key of a second view and treated the same way. Equal texts are grouped first. Texts
+    all 12 with a chance of 0.0002). `rounds` of exact comparisons with the smallest and the largest member of
+    each bucket join most texts; then every pair of a bucket that is not yet connected is compared (see
+    _cross_links), so no link between texts that share a bucket is lost. Equal texts are grouped first. Texts
     without words form one group. doc_id null, repeats and other columns as in groups().
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -179,11 +249,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, v
     shared = lambda df, by: df.join(df.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1"), by)
     members = materialize(shared(keys, ["t", "key"]).select("t", "key", "k"), "near-members")
 
-    def ends(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    def ends(df: DataFrame, by: list[str]) -> DataFrame:
         met = shared(df, by)
         pairs = met.select(F.least("k", "lo").alias("a"), F.greatest("k", "lo").alias("b"))
         pairs = pairs.unionByName(met.select(F.least("k", "hi").alias("a"), F.greatest("k", "hi").alias("b")))
-        return pairs.where("a <> b").distinct(), met
+        return pairs.where("a <> b").distinct()
 
     hold = materialize(rows.join(members.select("k").distinct(), F.xxhash64("h") == F.col("k"), "left_semi").groupBy(F.xxhash64("h").alias("k")).agg(F.first("text").alias("text")), "near-texts")
 
@@ -201,35 +271,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, v
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= similarity * (small + large - common) - 1e-9).select("a", "b")
 
+    # Comparisons with the ends join most of a large group in linear work; what they leave out is compared in full below.
     tested, edges = None, None
-    active, by = members, ["t", "key"]
-    for turn in range(rounds):
-        pairs, met = ends(active, by)
+    active = members
+    for _ in range(rounds):
+        pairs = ends(active, ["t", "key"])
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.head(1):
-            if by == ["t", "key"]:
-                # what is left shares a key without being alike to either end: split by second views
-                crowd = materialize(met.where("n > 3").select("t", "key", "k"), "near-crowd")
-                if not crowd.head(1):
-                    break
-                second = crowd.select("k", F.col("t").alias("t2"), F.col("key").alias("key2"))
-                own = keys.join(second.select("k").distinct(), "k", "left_semi").select("k", F.col("t").alias("t2"), F.col("key").alias("key2"))
-                active = crowd.join(own, "k").where("t <> t2").select("t", "key", "t2", "key2", "k")
-                by = ["t", "key", "t2", "key2"]
-                continue
             break
         new = materialize(alike(pairs), "near-links")
         edges = new if edges is None else edges.unionByName(new)
         active = active.join(new.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
+    joined = _roots(members.select("k").distinct(), edges)
+    found = materialize(_cross_links(members, joined, sets, similarity, 3 if rounds else 1), "near-cross")
+    known = joined.select(F.col("k").alias("a"), F.col("root").alias("b")).where("a <> b")
     nodes = ids.select("k", "least")
-    if edges is None:
-        named = nodes.withColumn("root", F.col("k"))
-    else:
-        roots = components(edges)
-        named = nodes.join(roots, nodes.k == roots.node, "left").select("k", "least", F.coalesce("root", "k").alias("root"))
+    named = nodes.join(_roots(nodes.select("k"), known.unionByName(found)), "k")
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = materialize(named.join(first, "root").select("k", "component_id"), "near-label")
     return rows.select("doc_id", F.xxhash64("h").alias("k")).join(label, "k").select("doc_id", "component_id", F.col("k").alias("text_key"))

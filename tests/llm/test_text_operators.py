@@ -130,6 +130,35 @@ def test_similar_groups(docs, rows, none):
     assert {i: c for (i, _), c in got.items() if i is not None} == want
 
 
+@pytest.mark.parametrize("members", [256, 8])
+def test_similar_groups_of_hubs_chains_and_crowds(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", members, raising=False)
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def change(words, n):
+        at = rng.sample(range(3, len(words), 6), n)
+        return [f"x{rng.random()}" if i in at else w for i, w in enumerate(words)]
+
+    made = {}
+    for hub in (0, 1000, 2000):  # copies alike to the original, not among themselves
+        base = fresh(200)
+        made |= {hub + i: " ".join(change(base, 4)) for i in range(120)} | {hub + 500: " ".join(base)}
+    for chain in (3000, 4000):  # each version is alike to the one before
+        now = fresh(200)
+        for i in range(120):
+            made[chain + i] = " ".join(now)
+            now = change(now, 4)
+    passage = fresh(130)  # shared by many that are alike in pairs only
+    for i in range(5000, 5120, 2):
+        own = passage + fresh(70)
+        made |= {i: " ".join(own), i + 1: " ".join(change(own, 2))}
+    s = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in made.items()}
+    want = union_find(made, [(a, b) for a in made for b in made if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (2, 3), (9, 9)] + [(500, 500 + i) for i in range(1, 50)]
     df = spark.createDataFrame(edges, "a long, b long")
