@@ -26,15 +26,27 @@ def guarded_stock(spark, sf_dir):
     return flow.guarded_fold(order_lines(spark, sf_dir), ["sku"], _ORDER, "qty", INITIAL)
 
 
-def requests(spark, sf_dir):
+def requests(lines):
     """The order lines as requests: one of ten buyers is unknown, and order numbers repeat over every third line."""
-    rows = order_lines(spark, sf_dir).where("order_no < 4000")
-    rows = rows.select(*_ORDER, "sku").distinct()
-    number = F.concat(F.lit("O"), F.lpad(F.col("order_no").cast("string"), 8, "0"), F.lit("-"), ((F.col("line_no") + F.col("sku")) % 3).cast("string"))
+    rows = lines.select(*_ORDER, "sku").distinct()
+    number = F.format_string("O%08d-%d", F.col("order_no"), (F.col("line_no") + F.col("sku")) % 3)
     key = F.concat_ws("|", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in (*_ORDER, "sku")])
     return rows.select(key.alias("seq"), number.alias("order_no"), "sku", "qty", (F.col("order_no") % 10 != 3).alias("customer_known"))
 
 
+def _outcomes(lines):
+    return flow.outcomes(requests(lines), FLOW_INITIAL).select("seq", "order_no", "sku", "qty", "status")
+
+
+def _summary(done):
+    return done.groupBy("status").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("order_no").alias("orders"), F.sum("qty").alias("qty"))
+
+
+def _sliced(spark, sf_dir):
+    """The lines that the SQL of order_flow_outcomes and order_flow_summary takes; their _all forms take every line."""
+    return order_lines(spark, sf_dir).where("order_no < 4000")
+
+
 _REQUESTS = """req AS (SELECT concat_ws('|', lpad(order_no::VARCHAR, 12, '0'), lpad(line_no::VARCHAR, 12, '0'), lpad(loc::VARCHAR, 12, '0'), lpad(qty::VARCHAR, 12, '0'), lpad(day::VARCHAR, 12, '0'), lpad(sku::VARCHAR, 12, '0')) AS seq,
  'O' || lpad(order_no::VARCHAR, 8, '0') || '-' || ((line_no + sku) % 3) AS order_no, sku, qty, order_no % 10 <> 3 AS customer_known
  FROM (SELECT DISTINCT order_no, line_no, loc, qty, day, sku FROM lines WHERE order_no < 4000)),
@@ -50,20 +62,27 @@ FLOW_INITIAL = 100
 
 @query(with_images("lines", sql=f"{_REQUESTS},\n{_WALK}\nSELECT seq, order_no, sku, qty, status FROM outcome"))
 def order_flow_outcomes(spark, sf_dir):
-    rows = requests(spark, sf_dir)
-    return flow.outcomes(rows, FLOW_INITIAL).select("seq", "order_no", "sku", "qty", "status")
+    return _outcomes(_sliced(spark, sf_dir))
+
+
+@query()
+def order_flow_outcomes_all(spark, sf_dir):
+    return _outcomes(order_lines(spark, sf_dir))
 
 
 @query(with_images("lines", sql=f"{_REQUESTS},\n{_WALK}\nSELECT status, count(*) AS requests, count(DISTINCT order_no) AS orders, sum(qty)::BIGINT AS qty FROM outcome GROUP BY 1"))
 def order_flow_summary(spark, sf_dir):
-    rows = requests(spark, sf_dir)
-    return flow.outcomes(rows, FLOW_INITIAL).groupBy("status").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("order_no").alias("orders"), F.sum("qty").alias("qty"))
+    return _summary(_outcomes(_sliced(spark, sf_dir)))
+
+
+@query()
+def order_flow_summary_all(spark, sf_dir):
+    return _summary(_outcomes(order_lines(spark, sf_dir)))
 
 
 @query("SELECT \"check\", violations::BIGINT AS violations FROM (VALUES ('on_hand_matches_movements', 0), ('on_hand_non_negative', 0), ('no_duplicate_order_no', 0), ('movement_deltas_match_orders', 0), ('movement_delta_sum', 0), ('one_movement_per_order', 0)) t(\"check\", violations)")
 def flow_invariants(spark, sf_dir):
-    rows = requests(spark, sf_dir)
-    done = flow.outcomes(rows, FLOW_INITIAL)
+    done = _outcomes(order_lines(spark, sf_dir))
     orders = done.where("status = 'ok'").select("order_no", "sku", "qty")
     moves = orders.select("order_no", "sku", (-F.col("qty")).alias("delta"))
     stock = done.where("status in ('ok', 'backorder')").groupBy("sku").agg((FLOW_INITIAL - F.sum(F.when(F.col("status") == "ok", F.col("qty")).otherwise(0))).alias("on_hand"))

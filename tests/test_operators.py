@@ -1,5 +1,6 @@
 """Edge cases on hand-made rows."""
 
+import datetime
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stockwell.functions import scalars
 from stockwell.operators import aggregates, flow, joins, layout, versions
+from stockwell.plans import flows
 from stockwell.plans.requests import compile_request
 from stockwell.sources import traces
 from stockwell.streaming import bandit, windows
@@ -148,3 +150,28 @@ def test_bandit_stream_equals_replay(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn("all", F.lit(1))
     windows.run_stream(bandit.stream(stream), "bandit", str(tmp_path / "check"), "append")
     assert sorted(map(tuple, spark.table("bandit").collect())) == want
+
+
+def test_order_flow_takes_every_order(spark, tmp_path):
+    orders = [*range(1, 60), *range(3990, 4020), 10**8 + 1, 10**9 + 1, 10**9 + 2]
+    lines = [(o, n, (o + n) % 4, o % 3, 7 + (o * n) % 20) for o in orders for n in range(1, 5)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_shipdate date, l_returnflag string"
+    shipped = datetime.date(1996, 1, 1)
+    spark.createDataFrame([(o, n, sku, loc, float(q), shipped, "N") for o, n, sku, loc, q in lines], schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    used, left, want = set(), {}, []
+    for o, n, sku, _, q in sorted(lines):
+        number = f"O{o:08d}-{(n + sku) % 3}"
+        if o % 10 == 3:
+            status = "skipped"
+        elif number in used:
+            status = "rejected"
+        else:
+            used.add(number)
+            status = "ok" if left.setdefault(sku, flows.FLOW_INITIAL) >= q else "backorder"
+            left[sku] -= q if status == "ok" else 0
+        want.append((number, sku, q, status))
+    got = flows.order_flow_outcomes_all(spark, str(tmp_path)).collect()
+    assert sorted((r.order_no, r.sku, r.qty, r.status) for r in got) == sorted(want)
+    totals = {r.status: (r.requests, r.orders, r.qty) for r in flows.order_flow_summary_all(spark, str(tmp_path)).collect()}
+    assert totals == {s: (len(x), len({r[0] for r in x}), sum(r[2] for r in x)) for s in {r[3] for r in want} if (x := [r for r in want if r[3] == s])}
+    assert all(r.violations == 0 for r in flows.flow_invariants(spark, str(tmp_path)).collect())
