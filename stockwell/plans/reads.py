@@ -81,9 +81,21 @@ SELECT event_type, min(handle) AS handle FROM (
   SELECT handle, event_type FROM base WHERE handle NOT IN (SELECT handle FROM newer)
   UNION ALL SELECT handle, event_type FROM newer WHERE NOT deleted) GROUP BY event_type"""))
 def index_overlay(spark, sf_dir):
-    log = change_log(spark, sf_dir)
-    base = versions.newest(log.where("csn <= 5000"), ["handle"])
-    merged = versions.overlay(base, log.where("csn > 5000 and handle % 2 = 0"))
+    return _overlaid(change_log(spark, sf_dir), "csn > 5000 and handle % 2 = 0")
+
+
+@query(with_images("log", sql="""
+base AS (SELECT handle, max(csn) AS csn, arg_max(event_type, csn) AS event_type FROM log WHERE csn <= 5000 GROUP BY handle),
+newer AS (SELECT handle, max(csn) AS csn, arg_max(event_type, csn) AS event_type, arg_max(deleted, csn) AS deleted FROM log WHERE csn > 5000 GROUP BY handle)
+SELECT event_type, min(handle) AS handle FROM (
+  SELECT handle, event_type FROM base WHERE handle NOT IN (SELECT handle FROM newer)
+  UNION ALL SELECT handle, event_type FROM newer WHERE NOT deleted) GROUP BY event_type"""))
+def index_overlay_all(spark, sf_dir):
+    return _overlaid(change_log(spark, sf_dir), "csn > 5000")
+
+
+def _overlaid(log, delta):
+    merged = versions.overlay(versions.newest(log.where("csn <= 5000"), ["handle"]), log.where(delta))
     return merged.groupBy("event_type").agg(F.min("handle").alias("handle"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stockwell.functions import scalars
 from stockwell.operators import aggregates, flow, joins, layout, versions
-from stockwell.plans import flows
+from stockwell.plans import flows, reads
 from stockwell.plans.requests import compile_request
 from stockwell.sources import traces
 from stockwell.streaming import bandit, windows
@@ -175,3 +175,9 @@ def test_order_flow_takes_every_order(spark, tmp_path):
     totals = {r.status: (r.requests, r.orders, r.qty) for r in flows.order_flow_summary_all(spark, str(tmp_path)).collect()}
     assert totals == {s: (len(x), len({r[0] for r in x}), sum(r[2] for r in x)) for s in {r[3] for r in want} if (x := [r for r in want if r[3] == s])}
     assert all(r.violations == 0 for r in flows.flow_invariants(spark, str(tmp_path)).collect())
+
+
+def test_index_overlay_takes_every_handle(spark, tmp_path):
+    rows = [(1, 1, "a"), (2, 2, "a"), (3, 3, "b"), (4, 4, "b"), (1, 5001, "error"), (3, 5002, "c"), (2, 5003, "d"), (7, 5004, "e")]
+    spark.createDataFrame([(u, e, t, 0.0) for u, e, t in rows], "user_id long, event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.event_type: r.handle for r in reads.index_overlay_all(spark, str(tmp_path)).collect()} == {"b": 4, "c": 3, "d": 2, "e": 7}
