@@ -105,7 +105,15 @@ def idempotent_blocks(spark, sf_dir):
 
 @query(with_images("lines", sql="SELECT 'Order' AS entity, 'order_no' AS field, order_no::VARCHAR AS value, count(DISTINCT sku) AS owners FROM lines WHERE order_no < 100 AND sku % 5 <> 0 GROUP BY order_no HAVING count(DISTINCT sku) > 1"))
 def unique_conflicts(spark, sf_dir):
-    lines = order_lines(spark, sf_dir).where("order_no < 100")
+    return _conflicts(order_lines(spark, sf_dir).where("order_no < 100"))
+
+
+@query(with_images("lines", sql="SELECT 'Order' AS entity, 'order_no' AS field, order_no::VARCHAR AS value, count(DISTINCT sku) AS owners FROM lines WHERE sku % 5 <> 0 GROUP BY order_no HAVING count(DISTINCT sku) > 1"))
+def unique_conflicts_all(spark, sf_dir):
+    return _conflicts(order_lines(spark, sf_dir))
+
+
+def _conflicts(lines):
     rows = lines.select(F.lit("Order").alias("entity"), F.lit("order_no").alias("field"), F.col("order_no").cast("string").alias("value"), F.col("sku").alias("owner"))
     # One block puts every row, then releases the owners divisible by 5.
     ops = rows.distinct().withColumn("seq", F.lit(1)).withColumn("deleted", F.lit(False))

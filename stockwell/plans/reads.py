@@ -150,7 +150,22 @@ d AS (SELECT c_custkey, (x & 4294967295)::HUGEINT AS lo, (x >> 32)::HUGEINT AS h
 e AS (SELECT c_custkey, ((lo * 10723151780598845931::HUGEINT) % 18446744073709551616::HUGEINT + ((hi * (10723151780598845931::HUGEINT % 4294967296)) % 4294967296) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM d)
 SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 31))::VARCHAR AS draw FROM e""")
 def split_mix_draws(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 200")
+    return _draws(table(spark, sf_dir, "customer").where("c_custkey < 200"))
+
+
+@query("""WITH s AS (SELECT c_custkey, (c_custkey::HUGEINT + 3 * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM customer),
+a AS (SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 30)) AS x FROM s),
+m AS (SELECT c_custkey, x, (x & 4294967295)::HUGEINT AS lo, (x >> 32)::HUGEINT AS hi FROM a),
+b AS (SELECT c_custkey, ((lo * 13787848793156543929::HUGEINT) % 18446744073709551616::HUGEINT + ((hi * (13787848793156543929::HUGEINT % 4294967296)) % 4294967296) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM m),
+c AS (SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 27)) AS x FROM b),
+d AS (SELECT c_custkey, (x & 4294967295)::HUGEINT AS lo, (x >> 32)::HUGEINT AS hi FROM c),
+e AS (SELECT c_custkey, ((lo * 10723151780598845931::HUGEINT) % 18446744073709551616::HUGEINT + ((hi * (10723151780598845931::HUGEINT % 4294967296)) % 4294967296) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM d)
+SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 31))::VARCHAR AS draw FROM e""")
+def split_mix_draws_all(spark, sf_dir):
+    return _draws(table(spark, sf_dir, "customer"))
+
+
+def _draws(c):
     return c.select("c_custkey", scalars.split_mix(F.col("c_custkey"), F.lit(3)).cast("string").alias("draw"))
 
 

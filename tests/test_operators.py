@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stockwell.functions import scalars
 from stockwell.operators import aggregates, flow, joins, layout, versions
-from stockwell.plans import flows, reads
+from stockwell.plans import flows, joinshapes, reads
 from stockwell.plans.requests import compile_request
 from stockwell.sources import traces
 from stockwell.streaming import bandit, windows
@@ -181,3 +181,16 @@ def test_index_overlay_takes_every_handle(spark, tmp_path):
     rows = [(1, 1, "a"), (2, 2, "a"), (3, 3, "b"), (4, 4, "b"), (1, 5001, "error"), (3, 5002, "c"), (2, 5003, "d"), (7, 5004, "e")]
     spark.createDataFrame([(u, e, t, 0.0) for u, e, t in rows], "user_id long, event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     assert {r.event_type: r.handle for r in reads.index_overlay_all(spark, str(tmp_path)).collect()} == {"b": 4, "c": 3, "d": 2, "e": 7}
+
+
+@pytest.mark.parametrize("query, key, old, slice", [
+    (joinshapes.star_fanout_all, "order_no", joinshapes.star_fanout, "order_no < 500"),
+    (joinshapes.fallback_lookup_all, "o_orderkey", joinshapes.fallback_lookup, "o_orderkey < 3000"),
+    (flows.unique_conflicts_all, "value", flows.unique_conflicts, "value < 100"),
+    (reads.split_mix_draws_all, "c_custkey", reads.split_mix_draws, "c_custkey < 200"),
+])
+def test_whole_queries_go_beyond_the_slices_of_the_sql(spark, sf_dir, query, key, old, slice):
+    whole = query(spark, sf_dir).withColumn(key, F.col(key).cast("long")).cache()
+    part = old(spark, sf_dir).withColumn(key, F.col(key).cast("long"))
+    assert whole.where(f"not ({slice})").count() > 0
+    assert whole.where(slice).exceptAll(part).count() == 0 and part.exceptAll(whole.where(slice)).count() == 0
