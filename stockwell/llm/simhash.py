@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockwell.llm.common import materialize
+from stockwell.llm.common import WORD, materialize
 from stockwell.llm.components import components
 
 BITS = 64
@@ -30,6 +30,8 @@ BLOCK = 16_384
 BLOCK_MEMBERS = 256
 #: Cells whose parities tell unlike sets apart; a power of two and a multiple of 64.
 PARITY_BITS = 2048
+#: Texts of so few shingles are compared whatever their views are: samples of them agree less often than they are alike.
+SHORT = 40
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
@@ -157,14 +159,6 @@ def view_fingerprints(hashes: np.ndarray, views: int) -> list[int]:
     return out
 
 
-def _roots(nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """k, root of every k of `nodes`: the smallest node that `edges` reach from it."""
-    if edges is None:
-        return nodes.withColumn("root", F.col("k"))
-    roots = components(edges)
-    return materialize(nodes.join(roots, nodes.k == roots.node, "left").select("k", F.coalesce("root", "k").alias("root")), "near-roots")
-
-
 def linked_pairs(keys: list, labels: list, sets: list[np.ndarray], similarity: float) -> list[tuple]:
     """Links that connect whatever is alike among `sets` and has different labels, each checked exactly.
 
@@ -193,103 +187,132 @@ def linked_pairs(keys: list, labels: list, sets: list[np.ndarray], similarity: f
     return out
 
 
-def _cross_links(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, done: int) -> DataFrame:
-    """a, b: links that connect all alike members of each bucket (t, key) of `members` that have different roots.
+def _postings(sets: DataFrame, similarity: float) -> DataFrame:
+    """h, k: the texts of `sets` (k, s) under those of their shingles that a text alike to them must share.
 
-    Buckets of up to `done` members have been compared already, and of buckets with the same members one
-    is. In large ones, the members connected to the smallest (main) are not compared among themselves, and
-    all others meet in blocks, of which each pair is a group of its own.
+    Shingles are ordered by the number of sets that have them, rarest first. Of n shingles, two alike sets share
+    one of their first n - ceil(similarity * n) + 1. Those of a single set come first and need no row.
     """
-    by = ["t", "key"]
-    named = members.join(roots, "k")
+    each = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-often")
+    own = each.join(often, "h").groupBy("k").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    first = F.size("shared") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+    rows = own.where(first > 0).select("k", F.explode(F.slice("shared", F.lit(1), first)).alias("e"))
+    return materialize(rows.select("e.h", "k"), "near-postings")
+
+
+def _with_roots(nodes: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """k, root of every k of `nodes`: the smallest node that `links` (a, b) reach from it."""
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    roots = components(edges)
+    return materialize(nodes.join(roots, nodes.k == roots.node, "left").select("k", F.coalesce("root", "k").alias("root")), "near-roots")
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, k, root of `members`; h, n, main, and x, y, a hash of its texts, for each h with texts of several roots)."""
+    named = materialize(members.join(roots, "k"), "near-named")
     same = F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")
-    mixed = named.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min_by("root", "k").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same)
-    mixed = mixed.where((F.col("n") > done) & (F.col("lo") != F.col("hi")))
-    mixed = mixed.groupBy("n", "x", "y").agg(F.min(F.struct(*by, "main")).alias("one")).select("one.*", "n")
-    rest = materialize(named.join(mixed, by).withColumn("is_main", F.col("root") == F.col("main")), "near-mixed")
-    sides = rest.groupBy(*by).agg(F.count_if("is_main").alias("m"), F.count_if(~F.col("is_main")).alias("o"))
+    stats = named.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min_by("root", "k").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same)
+    return named, materialize(stats.where("lo <> hi").drop("lo", "hi"), "near-mixed")
+
+
+def _cross_links(named: DataFrame, mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all alike texts of each posting h of `mixed` that have different roots.
+
+    Of postings with the same texts one is compared. In large ones, the texts connected to the smallest
+    (main) are not compared among themselves, and all others meet in blocks, of which each pair is a group
+    of its own.
+    """
+    one = mixed.groupBy("n", "x", "y").agg(F.min(F.struct("h", "main")).alias("one")).select("one.*", "n")
+    rest = materialize(named.join(materialize(one, "near-one"), "h").withColumn("is_main", F.col("root") == F.col("main")), "near-rest")
+    sides = rest.groupBy("h").agg(F.count_if("is_main").alias("m"), F.count_if(~F.col("is_main")).alias("o"))
     blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK_MEMBERS)).cast("int")
-    rest = rest.join(sides.select(*by, blocks("m").alias("m"), blocks("o").alias("o")), by)
+    rest = rest.join(materialize(sides.select("h", blocks("m").alias("m"), blocks("o").alias("o")), "near-sides"), "h")
     own = F.pmod(F.xxhash64("k"), F.when(F.col("is_main"), F.col("m")).otherwise(F.col("o"))).cast("int")
     cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     main = F.transform(upto("o"), lambda j: cell(1, F.col("own"), j))
     other = F.concat(F.transform(upto("m"), lambda i: cell(1, i, F.col("own"))), F.transform(upto("o"), lambda j: cell(2, F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
     where = F.when(F.col("n") <= 2 * BLOCK_MEMBERS, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("is_main"), main).otherwise(other)
-    rest = rest.withColumn("own", own).select(*by, "k", "root", F.explode(where).alias("cell")).join(sets, "k")
+    rest = rest.withColumn("own", own).select("h", "k", "root", F.explode(where).alias("cell")).join(sets, "k")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(linked_pairs(pdf["k"].tolist(), pdf["root"].tolist(), pdf["s"].tolist(), similarity), columns=["a", "b"], dtype="int64")
 
-    return rest.groupBy(*by, "cell.kind", "cell.x", "cell.y").applyInPandas(compare, "a long, b long").distinct()
+    return rest.groupBy("h", "cell.kind", "cell.x", "cell.y").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows (a, b) of `pairs` whose sets are alike."""
+    left = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    both = both.where((small >= similarity * large - 1e-9) & (small > 0))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (small + large - common) - 1e-9).select("a", "b")
+
 
+def text_key(text: Column) -> Column:
+    """What equal texts, and all texts without words, have in common (bigint)."""
+    return F.xxhash64(F.md5(F.when(text.rlike(WORD), text).otherwise("").cast("binary")))
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, radius: int = 1, rounds: int = 6, id_col="doc_id", text_col="text") -> DataFrame:
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 16, radius: int = 1, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, component_id, text_key for every row of `docs`: groups of texts whose shingle sets have a Jaccard similarity >= `similarity`.
 
-    Candidates share the masked key of a view (see view_fingerprints; a pair of similarity 0.8 is missed by
-    all 12 with a chance of 0.0002). `rounds` of exact comparisons with the smallest and the largest member of
-    each bucket join most texts; then every pair of a bucket that is not yet connected is compared (see
-    _cross_links), so no link between texts that share a bucket is lost. Equal texts are grouped first. Texts
-    without words form one group. doc_id null, repeats and other columns as in groups().
+    Equal texts are grouped first. A text is a candidate if it shares the masked key of a view (see
+    view_fingerprints) with another text, or has SHORT shingles or fewer. All pairs among the candidates are then
+    decided exactly, through the postings of their rarest shingles (see _postings): every text of a posting is
+    compared with its smallest and largest one, and what is then not connected is compared in full. A pair of
+    similarity 0.8 with more than SHORT shingles is no pair of candidates with a chance of 0.00001. Texts
+    without words count as equal. doc_id null, repeats and other columns as in groups(); an empty table gives an
+    empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("h"))
-    ids = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.xxhash64(F.col("h")).alias("k")), "near-ids")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(F.col(text_col)).alias("k"))
+    ids = materialize(rows.groupBy("k").agg(F.min("doc_id").alias("least")), "near-ids")
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def seen(texts: pd.Series) -> pd.Series:
-        return pd.Series([view_fingerprints(x, views) if len(x := shingle_hashes(t, shingle)) else [0] * views for t in texts])
+    @F.pandas_udf("views array<long>, n int")
+    def seen(texts: pd.Series) -> pd.DataFrame:
+        hashes = (np.unique(shingle_hashes(t, shingle)) for t in texts)
+        return pd.DataFrame([(view_fingerprints(x, views), len(x)) if len(x) else (None, 0) for x in hashes], columns=["views", "n"])
 
     # Fingerprints of all rows are cheaper than a shuffle of the texts; equal texts then fall together.
-    prints = materialize(rows.select("h", seen("text").alias("views")).groupBy(F.xxhash64("h").alias("k")).agg(F.first("views").alias("views")), "near-views")
+    prints = rows.select("k", seen("text").alias("v")).groupBy("k").agg(F.first("v").alias("v"))
+    prints = materialize(prints.select("k", "v.views", "v.n"), "near-views")
     tables = F.array(*[F.lit(signed(m)) for m in masks(radius)])
     keys = prints.select("k", F.posexplode("views").alias("view", "fp")).select("k", "view", F.posexplode(tables).alias("t", "m"), "fp")
     keys = keys.select((F.col("view") * F.size(tables) + F.col("t")).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "k")
-    shared = lambda df, by: df.join(df.groupBy(*by).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1"), by)
-    members = materialize(shared(keys, ["t", "key"]).select("t", "key", "k"), "near-members")
-
-    def ends(df: DataFrame, by: list[str]) -> DataFrame:
-        met = shared(df, by)
-        pairs = met.select(F.least("k", "lo").alias("a"), F.greatest("k", "lo").alias("b"))
-        pairs = pairs.unionByName(met.select(F.least("k", "hi").alias("a"), F.greatest("k", "hi").alias("b")))
-        return pairs.where("a <> b").distinct()
-
-    hold = materialize(rows.join(members.select("k").distinct(), F.xxhash64("h") == F.col("k"), "left_semi").groupBy(F.xxhash64("h").alias("k")).agg(F.first("text").alias("text")), "near-texts")
+    shared = keys.groupBy("t", "key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("t", "key")
+    crowd = keys.join(materialize(shared, "near-buckets"), ["t", "key"], "left_semi").select("k")
+    crowd = materialize(crowd.unionByName(prints.where(f"n between 1 and {SHORT}").select("k")).distinct(), "near-crowd")
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def shingle_set(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts])
 
+    hold = rows.select("k", "text").join(crowd, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
     sets = materialize(hold.select("k", shingle_set("text").alias("s")), "near-sets")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
-        both = left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-        small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-        both = both.where((small >= similarity * large) & (small > 0))
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common >= similarity * (small + large - common) - 1e-9).select("a", "b")
-
-    # Comparisons with the ends join most of a large group in linear work; what they leave out is compared in full below.
-    tested, edges = None, None
-    active = members
-    for _ in range(rounds):
-        pairs = ends(active, ["t", "key"])
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.head(1):
-            break
-        new = materialize(alike(pairs), "near-links")
-        edges = new if edges is None else edges.unionByName(new)
-        active = active.join(new.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
-    joined = _roots(members.select("k").distinct(), edges)
-    found = materialize(_cross_links(members, joined, sets, similarity, 3 if rounds else 1), "near-cross")
-    known = joined.select(F.col("k").alias("a"), F.col("root").alias("b")).where("a <> b")
-    nodes = ids.select("k", "least")
-    named = nodes.join(_roots(nodes.select("k"), known.unionByName(found)), "k")
+    postings = _postings(sets, similarity)
+    ends = postings.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
+    met = postings.join(materialize(ends, "near-ends"), "h")
+    pair = lambda end: F.struct(F.least("k", end).alias("a"), F.greatest("k", end).alias("b"))
+    pairs = met.select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).select("p.*").where("a <> b").distinct()
+    links = [materialize(_alike(materialize(pairs, "near-pairs"), sets, similarity), "near-links")]
+    members = met.select("h", "k")
+    # A text of a crowd is in many postings: it is compared in its largest one first, and in the others if they are still mixed.
+    for turn in range(2):
+        named, mixed = _mixed(members, _with_roots(sets.select("k"), links))
+        mixed = mixed.where("n > 3")  # all pairs of three have been compared
+        if not mixed.head(1):
+            continue
+        if turn == 0:
+            largest = named.join(mixed.select("h", "n"), "h").groupBy("k").agg(F.max(F.struct("n", "h"))["h"].alias("h"), F.first("root").alias("root"))
+            named = materialize(largest.select("h", "k", "root"), "near-largest")
+            named, mixed = _mixed(named.select("h", "k"), named.select("k", "root"))
+        links.append(materialize(_cross_links(named, mixed, sets, similarity), "near-cross"))
+    named = ids.join(_with_roots(ids.select("k"), links), "k")
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = materialize(named.join(first, "root").select("k", "component_id"), "near-label")
-    return rows.select("doc_id", F.xxhash64("h").alias("k")).join(label, "k").select("doc_id", "component_id", F.col("k").alias("text_key"))
+    label = materialize(named.join(materialize(first, "near-first"), "root").select("k", "component_id"), "near-label")
+    return rows.select("doc_id", "k").join(label, "k").select("doc_id", "component_id", F.col("k").alias("text_key"))

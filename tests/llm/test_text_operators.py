@@ -121,7 +121,7 @@ def test_similar_groups(docs, rows, none):
     sets = [(i, t or "", frozenset(simhash.shingle_hashes(t, 5).tolist())) for i, t in ids_and_texts(rows)]
     nodes = sorted({t for _, t, _ in sets})
     s = {t: x for _, t, x in sets}
-    linked = [(a, b) for a in nodes for b in nodes if a < b and s[a] and s[b] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) - 1e-9]
+    linked = [(a, b) for a in nodes for b in nodes if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) - 1e-9]  # texts without words: empty sets
     root = union_find(nodes, linked)
     groups = {}
     for i, t, _ in sets:
@@ -153,6 +153,13 @@ def test_similar_groups_of_hubs_chains_and_crowds(spark, monkeypatch, members):
     for i in range(5000, 5120, 2):
         own = passage + fresh(70)
         made |= {i: " ".join(own), i + 1: " ".join(change(own, 2))}
+    passage = fresh(260)  # its share is so high that strangers are nearly alike
+    for i in range(6000, 6200, 2):
+        own = passage + fresh(33)
+        made |= {i: " ".join(own), i + 1: " ".join(change(own, 3))}
+    short = [fresh(9) for _ in range(60)]
+    for k, own in enumerate(short):  # four and five shingles
+        made |= {7000 + 2 * k: " ".join(own), 7001 + 2 * k: " ".join(own[:8])}
     s = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in made.items()}
     want = union_find(made, [(a, b) for a in made for b in made if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(4)
