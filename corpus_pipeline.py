@@ -25,11 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts alike in 0.8 or more of their five-word shingles, the row with the smallest doc_id, once."""
+    docs = docs.select(*COLUMNS)
     found = simhash.similar_groups(docs, shingle=5, similarity=0.8)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")).distinct()
-    rows = docs.withColumn("_k", F.xxhash64(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    rows = rows.join(keep, [rows._k == keep._k, rows.doc_id.eqNullSafe(keep._id)], "left_semi")
-    return rows.dropDuplicates(["doc_id", "_k"]).select(*COLUMNS)
+    row = lambda x, k: F.struct(x.alias("i"), k.alias("k"))  # noqa: E731  equal to another one also where its id is null
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row(F.col("doc_id"), F.col("text_key")).alias("row")).distinct()
+    rows = docs.withColumn("row", row(F.col("doc_id"), simhash.text_key(F.col("text")))).join(keep, "row", "left_semi")
+    return rows.dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
