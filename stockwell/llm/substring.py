@@ -1,7 +1,9 @@
 """Substring dedup: windows of consecutive words that also start in an earlier document go.
 
-Pass 1 builds one count-min sketch per partition and merges the sketches cell by cell. Counters saturate
-at two, which is all the question needs. What is counted for a window is its anchor: of the 7-word grams
+Pass 1 builds one count-min sketch per stored part of the texts, as a list of what it counts, and merges the
+sketches block by block. Counters of a part saturate at two, which is all the question needs. A block has a
+fixed size, and there are as many as the texts ask for, so the estimates are as good at every size. Each
+block tells each part which of its entries are estimated at two or more. What is counted for a window is its anchor: of the 7-word grams
 inside the window the one with the smallest hash. Equal windows have equal anchors, so the count of an
 anchor, and the sketch's overestimate of it, is never below the count of a window: no repeated window is
 lost, while neighbouring windows mostly share their anchors and a quarter of the positions is counted.
@@ -16,8 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,11 @@ from stockwell.llm.common import Scratch, materialize, release
 
 WINDOW = 13
 GRAM = 7
-#: Cells of a row of the sketch: a power of two from the size of the texts, at most 2^MOST_BITS. Beyond
-#: that the sketch lets more windows through to the exact pass; it never loses one. Two rows of 2^28 cells
-#: are 64 MiB of bits sent to executors.
-LEAST_BITS, MOST_BITS = 16, 28
+#: Characters of texts that are stored as one part, and entries of one block of the sketch, both about.
+PART_CHARS, BLOCK_ENTRIES = 16_000_000, 1 << 18
 ROWS = 2
-BLOCK_CELLS = 1 << 19
+#: Cells of a row of the sketch for each entry.
+CELLS = 8
 
 _POWERS = [np.cumprod(np.full(WINDOW, m, np.uint64)) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
@@ -69,81 +70,94 @@ def anchors(a: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return grams, at
 
 
-def _cells(grams: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (_mix(grams, 0x51ED270B + row) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _sketch(texts, window: int, gram: int, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Bit planes 'at least one' and 'at least two' of the cells that the texts touch, block by block."""
-    once = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
-    twice = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
-
-    def add(found: list[np.ndarray]) -> None:
-        all_grams = np.concatenate(found)
-        for row in range(ROWS):
-            cell, n = np.unique(_cells(all_grams, row, bits), return_counts=True)
-            byte, bit = cell >> 3, (1 << (cell & 7)).astype(np.uint8)
-            again = (n > 1) | (once[row][byte] & bit > 0)
-            np.bitwise_or.at(twice[row], byte[again], bit[again])
-            np.bitwise_or.at(once[row], byte, bit)
-
-    found, size = [], 0
-    for text in texts:
-        words = text.encode().split()
-        if len(words) < window:
-            continue
-        grams, at = anchors(word_hashes(words), window, gram)
-        keep = np.unique(at)
-        found.append(grams[keep])
-        size += len(keep)
-        if size > 1 << 19:
-            add(found)
-            found, size = [], 0
+def sketch_blocks(chars: int) -> int:
+    """Bits of the number of blocks: a word has six characters or so and a quarter of the words is an anchor."""
+    return max(0, int(np.ceil(np.log2(max(1, chars / 24 / BLOCK_ENTRIES)))))
+
+
+def _entries(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The number of the block of each gram, and 32 more bits: what a part is told about."""
+    return grams >> np.uint64(32 - bits)
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, str]]:
+    for lo in range(0, batch.num_rows, 256):
+        yield from enumerate(batch.column(column).slice(lo, 256).to_pylist(), lo)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], window: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(block, g, once, twice) of every part g in batches of (g, text): the entries that it counts once, and twice or more."""
+
+    def told(g: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        entries, n = np.unique(np.concatenate(found), return_counts=True)
+        rows = []
+        block = (entries >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        low = (entries & np.uint64(0xFFFFFFFF)).astype("<u4")
+        for lo, hi in zip(starts, [*starts[1:], len(entries)], strict=True):
+            many = n[lo:hi] > 1
+            rows.append((int(block[lo]), g, low[lo:hi][~many].tobytes(), low[lo:hi][many].tobytes()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "g", "once", "twice"])
+
+    part, found = None, []
+    for batch in batches:
+        parts = batch.column(0).to_pylist()
+        for k, text in _texts(batch, 1):
+            if parts[k] != part:
+                if found:
+                    yield told(part, found)
+                part, found = parts[k], []
+            words = text.encode().split()
+            if len(words) >= window:
+                grams, at = anchors(word_hashes(words), window, gram)
+                found.append(_entries(grams[np.unique(at)], bits))
     if found:
-        add(found)
-    pack = zstandard.ZstdCompressor(level=1).compress
-    step = min(BLOCK_CELLS, 1 << bits) // 8
-    for row in range(ROWS):
-        for k, lo in enumerate(range(0, (1 << bits) // 8, step)):
-            part = once[row][lo : lo + step]
-            if part.any():
-                yield row * (1 << 16) + k, pack(part.tobytes()), pack(twice[row][lo : lo + step].tobytes())
-
-
-def repeated_cells(texts: DataFrame, window: int, gram: int, bits: int) -> dict[int, bytes]:
-    """Merged sketches: per block the (compressed) bits of the cells counted twice or more; all blocks have a fixed total size."""
-
-    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(_sketch((t for pdf in parts for t in pdf["text"]), window, gram, bits))
-        for at in range(0, len(rows), 64):
-            yield pd.DataFrame(rows[at : at + 64], columns=["block", "once", "twice"])
-
-    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        block, one, two = None, None, None
-        out = lambda: pd.DataFrame({"block": [block], "twice": [pack(two.tobytes())]})
-        for pdf in parts:
-            for b, x, y in zip(pdf["block"], pdf["once"], pdf["twice"], strict=True):
-                x, y = (np.frombuffer(unpack(z), np.uint8) for z in (x, y))
-                if b == block:
-                    two |= y | (one & x)
-                    one |= x
-                else:
-                    if block is not None:
-                        yield out()
-                    block, one, two = b, x.copy(), y.copy()
-        if block is not None:
-            yield out()
-
-    blocks = ROWS * max(1, (1 << bits) // BLOCK_CELLS)
-    parts = texts.mapInPandas(build, "block int, once binary, twice binary")
-    merged = parts.repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInPandas(merge, "block int, twice binary")
-    return {r.block: bytes(r.twice) for r in merged.toLocalIterator()}
-
-
-def sketch_bits(chars: int) -> int:
-    """Cells for about a fifth of a load: a word has six characters or so and a quarter of the words is an anchor."""
-    return max(LEAST_BITS, min(MOST_BITS, int(np.ceil(np.log2(max(1, chars) / 24 * 4.5)))))
+        yield told(part, found)
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """The sketches of one block merged: (g, block, entries), the entries of each part that are estimated at two or more."""
+    lists = [[np.frombuffer(x, "<u4") for x in table.column(c).to_pylist()] for c in ("once", "twice")]
+    entries, weights = np.concatenate([*lists[0], *lists[1]]), np.repeat([1, 2], [sum(map(len, x)) for x in lists])
+    bits = max(4, int(np.ceil(np.log2(max(1, len(entries)) * CELLS))))
+    cell = lambda x, row: (_mix(x.astype(np.uint64), 0x51ED270B + row) >> np.uint64(64 - bits)).astype(np.int64)
+    rows = [np.minimum(np.bincount(cell(entries, r), weights, 1 << bits), 2).astype(np.uint8) for r in range(ROWS)]
+    often = lambda x: x[np.min([c[cell(x, r)] for r, c in enumerate(rows)], axis=0) > 1] if len(x) else x
+    out = [np.sort(np.concatenate([often(a), b])).tobytes() for a, b in zip(*lists, strict=True)]
+    return pa.table({"g": table.column("g"), "block": table.column("block"), "entries": pa.array(out, pa.binary())})
+
+
+def _candidates(texts: pa.Table, told: pa.Table, window: int, gram: int, bits: int) -> pa.Table:
+    """h1, h2, d, x, pos of the windows of one part's texts (d, x, text) whose anchors are among its `told` entries."""
+    often = [np.frombuffer(e, "<u4").astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, e in zip(told.column("block").to_pylist(), told.column("entries").to_pylist(), strict=True)]
+    often = np.unique(np.concatenate(often)) if often else np.zeros(0, np.uint64)
+    h1, h2, row, pos = ([np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int32))
+    for batch, lo in _numbered(texts):
+        for k, text in _texts(batch, batch.schema.get_field_index("text")):
+            words = text.encode().split()
+            if len(words) < window or not len(often):
+                continue
+            a = word_hashes(words)
+            grams, at = anchors(a, window, gram)
+            entries = _entries(grams, bits)
+            found = np.minimum(np.searchsorted(often, entries), len(often) - 1)
+            where = np.flatnonzero((often[found] == entries)[at])
+            if len(where):
+                one, two = (_mix(_sums(a, window, p), 7)[where] for p in _POWERS)
+                h1.append(one.view(np.int64))
+                h2.append((two >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                row.append(np.full(len(where), lo + k))
+                pos.append(where.astype(np.int32))
+    at = pa.array(np.concatenate(row))
+    return pa.table({"h1": np.concatenate(h1), "h2": np.concatenate(h2), "d": texts.column("d").take(at), "x": texts.column("x").take(at), "pos": np.concatenate(pos)})
+
+
+def _numbered(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, int]]:
+    lo = 0
+    for batch in table.to_batches():
+        yield batch, lo
+        lo += batch.num_rows
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col="doc_id", text_col="text", carry=()) -> DataFrame:
@@ -155,67 +169,50 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col="doc
     far as "smaller" goes, each judged on its own text. Columns
     named in `carry` come along in the struct `carried`; others are ignored.
     """
-    far = F.lit(2**63 - 1)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    rows = rows.withColumns({"d": F.coalesce("doc_id", far), "x": F.xxhash64("text")})
+    rows = rows.withColumns({"d": F.col("doc_id"), "x": F.xxhash64("text")})
     ids = materialize(rows.select("d", "x", F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").alias("chars")), "sub-ids")
     firsts = ids.groupBy("h").agg(F.min("d").alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n"))
     firsts = materialize(firsts, "sub-first")
-    bits = sketch_bits(firsts.agg(F.sum("chars")).first()[0] or 0)
-    later = ids.join(firsts.where("n > 1").select("h", "first"), "h").where("d > first").select("d", "x", F.lit(True).alias("whole"))
-    same = ids.join(ids.groupBy("d").count().where("count > 1").select("d"), "d", "left_semi").select("d", "x", F.lit(False).alias("whole"))
+    single_chars, texts = firsts.agg(F.sum("chars"), F.count(F.lit(1))).first()
+    bits, part_rows = sketch_blocks(single_chars or 0), max(1, PART_CHARS * texts // max(1, single_chars or 0))
+    # Null ids come after all others.
+    after = lambda least: F.coalesce(F.col("d") > least, least.isNotNull())
+    one = lambda a, b, *more: [a.d.eqNullSafe(b.d), *[a[c] == b[c] for c in more]]
+    later = ids.join(firsts.where("n > 1").select("h", "first"), "h").where(after(F.col("first"))).select("d", "x", F.lit(True).alias("whole"))
+    several = materialize(ids.groupBy("d").count().where("count > 1").select("d"), "sub-several")
+    same = ids.join(several, one(ids, several), "left_semi").select("d", "x", F.lit(False).alias("whole"))
     notes = later.unionByName(same.withColumn("same", F.lit(True)), allowMissingColumns=True)
     notes = notes.groupBy("d", "x").agg(F.max("whole").alias("whole"), F.coalesce(F.max("same"), F.lit(False)).alias("same"))
-    flagged = rows.join(notes, ["d", "x"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    notes = materialize(notes, "sub-notes")
+    flagged = rows.join(notes, one(rows, notes, "x"), "left").drop(notes.d, notes.x).withColumn("whole", F.coalesce("whole", F.lit(False)))
     # The hash of a text is part of a row's identity only where several rows have its id.
     flagged = flagged.withColumn("x", F.when(F.col("same"), F.col("x")).otherwise(F.lit(0))).drop("same")
-    flagged = materialize(flagged, "sub-texts")
+    # g: the part a row is stored in.
+    at = F.monotonically_increasing_id()
+    part = F.shiftleft(F.shiftright(at, 33), 32) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(part_rows)).cast("long")
+    flagged = materialize(flagged.withColumn("g", part), "sub-texts")
     release(docs.sparkSession)
     # Later copies are not looked into. An id's repeated rows with equal texts are: they give equal windows.
     single = flagged.where("not whole")
-    cells = single.sparkSession.sparkContext.broadcast(repeated_cells(single.select("text"), window, gram, bits))
-    step = 0x10000
-
-    width = min(BLOCK_CELLS, 1 << bits) // 8
-
-    def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        twice = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
-        for b, packed in cells.value.items():
-            lo = (b % step) * width
-            twice[b // step][lo : lo + width] = np.frombuffer(unpack(packed), np.uint8)
-        for pdf in parts:
-            got, size = [], 0
-            for d, x, text in zip(pdf["d"], pdf["x"], pdf["text"], strict=True):
-                words = text.encode().split()
-                if len(words) < window:
-                    continue
-                a = word_hashes(words)
-                grams, at = anchors(a, window, gram)
-                hit = np.ones(len(at), bool)
-                for row in range(ROWS):
-                    cell = _cells(grams, row, bits)
-                    hit &= (twice[row][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)[at]
-                where = np.flatnonzero(hit)
-                if not len(where):
-                    continue
-                one, two = (_mix(_sums(a, window, p), 7)[where] for p in _POWERS)
-                got.append(pd.DataFrame({"h1": one.view(np.int64), "h2": (two >> np.uint64(32)).astype(np.uint32).view(np.int32), "d": d, "x": x, "pos": where.astype(np.int32)}))
-                size += len(where)
-                if size > 200_000:
-                    yield pd.concat(got)
-                    got, size = [], 0
-            if got:
-                yield pd.concat(got)
-
-    found = Scratch(single.select("d", "x", "text").mapInPandas(candidates, "h1 long, h2 int, d long, x long, pos int"), "sub-found")
+    id_type = dict(single.dtypes)["d"]
+    sketches = single.select("g", "text").mapInArrow(lambda batches: _sketches(batches, window, gram, bits), "block int, g long, once binary, twice binary")
+    told = materialize(sketches.groupBy("block").applyInArrow(_merge, "g long, block int, entries binary"), "sub-told")
+    release(docs.sparkSession)
+    met = single.select("g", "d", "x", "text").groupBy("g").cogroup(told.groupBy("g"))
+    found = met.applyInArrow(lambda left, right: _candidates(left, right, window, gram, bits), f"h1 long, h2 int, d {id_type}, x long, pos int")
+    found = Scratch(found, "sub-found")
+    release(docs.sparkSession)
+    least = found.df.groupBy("h1", "h2").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.max(F.isnull("d")).alias("some"))
+    least = Scratch(least.where("least < most or least is not null and some").select("h1", "h2", "least"), "sub-least")
     release(docs.sparkSession)
-    least = found.df.groupBy("h1", "h2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most")
-    hits = found.df.join(least, ["h1", "h2"]).where("d > least").groupBy("d", "x").agg(F.collect_set("pos").alias("starts"))
+    hits = found.df.join(least.df, ["h1", "h2"]).where(after(F.col("least"))).groupBy("d", "x").agg(F.collect_set("pos").alias("starts"))
     hits = materialize(hits, "sub-hits")
     found.drop()
+    least.drop()
     release(docs.sparkSession)
-    return flagged.join(hits, ["d", "x"], "left").select("doc_id", "text", "carried", "starts", "whole")
+    done = flagged.join(hits, one(flagged, hits, "x"), "left")
+    return done.select("doc_id", "text", "carried", "starts", "whole")
 
 
 def kept_words(words: list[bytes], starts, whole: bool, window: int) -> list[bytes]:

@@ -229,12 +229,28 @@ def test_ranks(spark):
 # ------------------------------------------------------------------ substring dedup
 
 
-@pytest.mark.parametrize("bits", [None, 3])
-def test_strip(docs, rows, none, bits, monkeypatch):
-    if bits:  # a sketch so full that it prunes nothing: the result stays the same
-        monkeypatch.setattr(substring, "sketch_bits", lambda chars: bits + 3)
+def test_sketch_overestimates_only():
+    rng = np.random.default_rng(4)
+    parts = [np.unique(rng.integers(0, 3000, 400)).astype("<u4") for _ in range(6)]
+    twice = [rng.choice(p, 20, replace=False) for p in parts]
+    once = [np.setdiff1d(p, t) for p, t in zip(parts, twice, strict=True)]
+    table = substring.pa.table({"block": [0] * 6, "g": list(range(6)), "once": [x.tobytes() for x in once], "twice": [x.tobytes() for x in twice]})
+    got = {g: set(np.frombuffer(e, "<u4").tolist()) for g, e in zip(*(substring._merge(table).column(c).to_pylist() for c in ("g", "entries")), strict=True)}
+    every, n = np.unique(np.concatenate([*once, *twice, *twice]), return_counts=True)
+    often = set(every[n > 1].tolist())
+    assert all(got[g] >= often & set(parts[g].tolist()) for g in range(6))
+    assert sum(map(len, got.values())) < 1.1 * sum(len(often & set(p.tolist())) for p in parts)
+
+
+@pytest.mark.parametrize("parts", [None, 900])
+def test_strip(docs, rows, none, parts, monkeypatch):
+    if parts:  # many parts and blocks: the result stays the same
+        monkeypatch.setattr(substring, "PART_CHARS", parts)
+        monkeypatch.setattr(substring, "BLOCK_ENTRIES", 40)
     assert substring.strip(none).count() == 0
-    far = 2**63 - 1
+    far = 2**63  # above all ids, of which the largest is among the rows
+    rows = [*rows, (far - 1, rows[12][1], "en", "a", 1), (far - 1, rows[20][1], "en", "a", 1)]
+    docs = docs.unionByName(docs.where(F.col("doc_id").isin(12, 20)).dropDuplicates(["doc_id"]).withColumn("doc_id", F.lit(far - 1)))
     words = [(far if i is None else i, (t or "").encode().split()) for i, t in ids_and_texts(rows)]
     first = {}
     for d, w in words:
