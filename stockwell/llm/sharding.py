@@ -1,33 +1,88 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Each linked document starts on a shard by hash; rounds of joins
-then move members of a community (a group of equal texts, or a part of one that is too large for half a
-shard) to the shard where most of the community is, as far as the quotas of the shards allow. At the end
-exact quotas hold: the documents beyond a shard's quota and the documents without links fill what is free.
+Documents with equal texts are linked; a group of them is a community, and one larger than a shard's quota is
+cut into parts of a whole quota. Every document starts on a shard by hash. Then communities move as a whole
+to the shard where most of their documents are, as far as its quota allows: the few large ones first, one by
+one, the others in rounds of joins. What a shard refuses is offered another one with room in the next round,
+until nothing moves. Documents without links, and those of communities that fit nowhere, fill what is free.
 Law `rows`: the counts of the shards differ by one at most.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from stockwell.llm.common import Scratch, SUB_BUCKETS, materialize, ranked
+from stockwell.llm.common import SUB_BUCKETS, Scratch, materialize, ranked
 
-#: Rows of a community that are numbered together; larger ones are numbered in parts of this size.
-CELL_ROWS = 20_000
+#: A community with more than this part of a quota is large: there are LARGE communities for each shard at most.
+LARGE = 16
 
 
 def _bucket(*cols, n=SUB_BUCKETS):
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def shard(docs: DataFrame, shards=24, rounds=3, id_col="doc_id", text_col="text") -> DataFrame:
+def _communities(base: DataFrame, groups: DataFrame, whole: int) -> DataFrame:
+    """The linked rows of `base` with c, their community: the group g, or a part of `whole` rows of it."""
+    linked = base.join(groups, "g")
+    over = linked.where(F.col("n") > whole).withColumn("b", _bucket("doc_id", "text_crc32"))
+    over = ranked(over, ["g"], ["b"], F.lit(""), ["doc_id", "text_crc32"], "at")
+    rows = linked.where(F.col("n") <= whole).withColumn("part", F.lit(0).cast("long"))
+    rows = rows.unionByName(over.withColumn("part", F.floor((F.col("at") - 1) / F.lit(whole))).drop("at", "b"))
+    return rows.withColumn("c", F.concat_ws("-", "g", F.col("part").cast("string"))).drop("g", "n", "part")
+
+
+def _place_large(pull: DataFrame, free: list[int]) -> list[tuple[str, int]]:
+    """(c, shard) of the communities of `pull`, largest first, each where most of its rows are among the shards with room; `free` shrinks."""
+    out = []
+    for r in sorted(pull.collect(), key=lambda r: (-r.n, r.c)):
+        there = {p.start: p.m for p in r.pulls}
+        rooms = [s for s, room in enumerate(free) if room >= r.n]
+        if rooms:
+            best = max(rooms, key=lambda s: (there.get(s, 0), free[s], -s))
+            free[best] -= r.n
+            out.append((r.c, best))
+    return out
+
+
+def _propagate(pending: DataFrame, free: list[int]) -> list[DataFrame]:
+    """(c, shard) tables of the communities of `pending` (c, n, pulls) that find room; `free` shrinks. The driver sees a sum per shard and round."""
+    placed, turn = [], 0
+    while True:
+        room = F.array(*[F.lit(x) for x in free])
+        fits = F.filter("pulls", lambda p: F.element_at(room, p["start"] + 1) >= F.col("n"))
+        best = F.array_max(F.transform(fits, lambda p: F.struct(p["m"], F.xxhash64("c", p["start"], F.lit(turn)), p["start"])))["start"]
+        # Without room where its rows are: a shard by lot, in proportion to the room, or else the one with the most.
+        draw = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(max(1, sum(free))))
+        lot = F.size(F.filter(F.array(*[F.lit(x) for x in accumulate(free)]), lambda e: e <= draw))
+        most = max(range(len(free)), key=free.__getitem__)
+        other = F.when(F.element_at(room, F.least(lot, F.lit(len(free) - 1)) + 1) >= F.col("n"), lot).when(F.lit(free[most]) >= F.col("n"), F.lit(most))
+        asked = pending.withColumn("shard", F.coalesce(best, other)).where("shard is not null").withColumn("one", F.lit(0))
+        asked = materialize(asked, "shard-asked")
+        # Rows that are admitted before: of larger communities, then of equally large ones by hash.
+        before = Window.partitionBy("shard").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+        larger = asked.groupBy("shard", "n").agg(F.sum("n").alias("rows")).select("shard", "n", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("larger"))
+        order = ranked(asked, ["shard", "n"], ["one"], _bucket("c"), ["c"], "at").join(materialize(larger, "shard-larger"), ["shard", "n"])
+        limit = F.element_at(room, F.col("shard") + 1)
+        order = materialize(order.select("c", "n", "pulls", "shard", (F.col("larger") + F.col("at") * F.col("n") <= limit).alias("in")), "shard-round")
+        for r in order.where("in").groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            free[r.shard] -= r.n
+        placed.append(order.where("in").select("c", "shard"))
+        pending, turn = order.where("not in").select("c", "n", "pulls"), turn + 1
+        if not pending.head(1):
+            return placed
+
+
+def shard(docs: DataFrame, shards=24, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of `docs`.
 
     size: UTF-8 bytes plus 8; a null text has no bytes and the checksum of the empty text, and is linked to
     other null texts. Repeated rows are documents of their own. An empty table gives an empty result.
-    Other columns are ignored. At most shards x shards counts reach the driver.
+    Other columns are ignored. Counts per shard, and LARGE communities a shard at most, reach the driver.
     """
     text = F.col(text_col)
     base = docs.select(
@@ -36,53 +91,26 @@ def shard(docs: DataFrame, shards=24, rounds=3, id_col="doc_id", text_col="text"
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("g"),
     )
-    base = materialize(base, "shard-base")
+    base = materialize(base.withColumn("start", _bucket("doc_id", "text_crc32", n=shards)), "shard-base")
     total = base.count()
-    quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    floor_quota = max(1, total // shards)
-    groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = lambda limit: F.ceil(F.col("n") / F.lit(limit)).cast("int")
-    part_of = lambda limit: F.pmod(F.xxhash64("doc_id", "text_crc32"), parts(limit)).cast("string")
-    half = max(1, floor_quota // 2)
-    placed = base.join(groups, "g", "left")
-    placed = placed.select(
-        "doc_id", "size", "text_crc32",
-        F.when(F.col("n").isNotNull(), F.concat_ws("-", "g", part_of(half))).alias("community"),
-        F.when(F.col("n").isNotNull(), F.concat_ws("-", "g", part_of(half), part_of(min(half, CELL_ROWS)))).alias("cell"),
-        _bucket("doc_id", "text_crc32", n=shards).alias("shard"),
-    )
-    placed = Scratch(placed, "shard-start")
-    singles = placed.df.where("community is null").select("doc_id", "size", "text_crc32")
-    linked = placed.df.where("community is not null")
-    for turn in range(rounds):
-        counts = linked.groupBy("community", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy("community").agg(F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"].alias("best"))
-        aims = counts.join(best.withColumn("best", -F.col("best")), "community")
-        flows = aims.groupBy("shard", "best").agg(F.sum("n").alias("n")).collect()
-        stays = [sum(r.n for r in flows if r.shard == s and r.best == s) for s in range(shards)]
-        wants = [sum(r.n for r in flows if r.best == s and r.shard != s) for s in range(shards)]
-        if not any(wants):
-            break
-        share = [min(1.0, max(0, floor_quota - stays[s]) / wants[s]) if wants[s] else 0.0 for s in range(shards)]
-        luck = F.pmod(F.xxhash64("community", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        allowed = best.select("community", (-F.col("best")).alias("best")).where(luck < F.element_at(F.array(*[F.lit(x) for x in share]), F.col("best") + 1))
-        linked = linked.join(allowed, "community", "left").withColumn("shard", F.coalesce("best", "shard")).drop("best")
-        linked = materialize(linked, "shard-round")
-    order = linked.withColumn("b", _bucket("cell"))
-    order = ranked(order, ["shard"], ["b"], F.col("cell"), ["doc_id", "text_crc32"], "at")
-    quota = F.element_at(F.array(*[F.lit(q) for q in quotas]), F.col("shard") + 1)
-    order = Scratch(order.select("doc_id", "size", "text_crc32", "shard", (F.col("at") <= quota).alias("stays")), "shard-linked")
-    held = {r.shard: r.n for r in order.df.where("stays").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    upto, free = 0, []
-    for s in range(shards):
-        upto += quotas[s] - held.get(s, 0)
-        free.append(upto)
-    pool = singles.unionByName(order.df.where("not stays").drop("shard", "stays"))
-    pool = pool.withColumn("b", _bucket("doc_id", "text_crc32"))
-    pool = ranked(pool, [], ["b"], F.lit(""), ["doc_id", "text_crc32"], "at")
-    ends = F.array(*[F.lit(x) for x in free])
+    free = [total // shards + (s < total % shards) for s in range(shards)]
+    whole = max(1, total // shards)
+    groups = materialize(base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-groups")
+    linked = materialize(_communities(base, groups, whole), "shard-linked")
+    counts = linked.groupBy("c", "start").agg(F.count(F.lit(1)).alias("m"))
+    pull = materialize(counts.groupBy("c").agg(F.sum("m").alias("n"), F.collect_list(F.struct("m", "start")).alias("pulls")), "shard-pull")
+    placed = docs.sparkSession.createDataFrame(_place_large(pull.where(F.col("n") * LARGE > whole), free), "c string, shard int")
+    for more in _propagate(pull.where(F.col("n") * LARGE <= whole), free):
+        placed = placed.unionByName(more)
+    linked = linked.join(materialize(placed, "shard-placed"), "c", "left")
+    linked = Scratch(linked.select("doc_id", "size", "text_crc32", "c", "shard"), "shard-moved")
+    # What is left of a community stays together as far as the order of filling allows.
+    pool = base.join(groups, "g", "left_anti").select("doc_id", "size", "text_crc32", F.lit(1).alias("o"), F.lit("").alias("c"), _bucket("doc_id", "text_crc32").alias("b"))
+    pool = pool.unionByName(linked.df.where("shard is null").select("doc_id", "size", "text_crc32", F.lit(0).alias("o"), "c", _bucket("c").alias("b")))
+    pool = ranked(materialize(pool, "shard-pool"), [], ["o", "b"], F.col("c"), ["doc_id", "text_crc32"], "at")
+    ends = F.array(*[F.lit(x) for x in accumulate(free)])
     pool = pool.withColumn("shard", F.size(F.filter(ends, lambda e: e < F.col("at"))).cast("int"))
-    done = pool.select("doc_id", "size", "text_crc32", "shard").unionByName(order.df.where("stays").drop("stays"))
+    done = pool.select("doc_id", "size", "text_crc32", "shard").unionByName(linked.df.where("shard is not null").drop("c"))
     done = materialize(done, "shard-done").withColumn("b", _bucket("doc_id", "text_crc32"))
     done = ranked(done, ["shard"], ["b"], F.lit(""), ["doc_id", "text_crc32"], "at")
     return done.select(

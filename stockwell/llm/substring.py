@@ -28,7 +28,7 @@ from stockwell.llm.common import Scratch, materialize, release
 WINDOW = 13
 GRAM = 7
 #: Characters of texts that are stored as one part, and entries of one block of the sketch, both about.
-PART_CHARS, BLOCK_ENTRIES = 16_000_000, 1 << 18
+PART_CHARS, BLOCK_ENTRIES = 8_000_000, 1 << 19
 ROWS = 2
 #: Cells of a row of the sketch for each entry.
 CELLS = 8

@@ -188,17 +188,40 @@ def test_shards(docs, rows, none):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32) for r in got) == want
 
 
-def test_shards_of_a_hot_group_and_its_links(spark):
-    rows = [(i, "copy" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"own {i}") for i in range(960)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).collect()
-    counts = [sum(r.shard == s for r in got) for s in range(24)]
-    assert counts == [40] * 24
-    shard = {r.doc_id: r.shard for r in got}
-    pairs = {}
-    for i, t in rows:
-        if t.startswith("pair"):
-            pairs.setdefault(t, set()).add(shard[i])
-    assert sum(len(p) == 1 for p in pairs.values()) > 0.6 * len(pairs)  # a random deal keeps a 24th together
+def _shards_of(spark, groups, shards):
+    """The shards of each group of equal texts, and all counts; groups: sizes."""
+    rows = [(1000 * g + i, f"text {g}") for g, n in enumerate(groups) for i in range(n)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=shards).collect()
+    assert len(got) == len(rows)
+    counts = [sum(r.shard == s for r in got) for s in range(shards)]
+    assert max(counts) - min(counts) <= 1
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id // 1000, []).append(r.shard)
+    return [by[g] for g in range(len(groups))]
+
+
+def _cut(groups):
+    """Pairs of equal texts on different shards."""
+    return sum(sum(a != b for a in g for b in g) // 2 for g in groups)
+
+
+def test_shards_keep_what_fits_whole(spark):
+    cases = [[320, *[2] * 160, *[1] * 320], [30] * 8 + [1] * 80, [39] * 8 + [1] * 8, [2] * 480, [3] * 100 + [2] * 100 + [1] * 460]
+    for groups, shards in zip(cases, (24, 8, 8, 24, 24), strict=True):
+        got = _shards_of(spark, groups, shards)
+        quota = sum(groups) // shards
+        # The best possible: whole quotas of a large group on shards of their own, and nothing else is cut.
+        best = _cut([[i // quota for i in range(n)] for n in groups])
+        assert _cut(got) == best
+
+
+def test_shards_cut_little_where_all_is_linked(spark):
+    rng = random.Random(2)
+    groups = [rng.randint(2, 9) for _ in range(150)]
+    got = _shards_of(spark, groups, 7)
+    whole = sum(len(set(g)) == 1 for g in got)
+    assert whole >= 150 - 2 * 7  # at most two of a shard's groups are at its ends
 
 
 def test_mix(spark, docs, rows, none):
