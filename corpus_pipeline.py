@@ -41,11 +41,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix of their sources by weights 5, 2, 1 has copies of them."""
-    return mixing.emit(docs, mixing.mix(docs)).select(*COLUMNS)
+    return mixing.emit(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids of every document of the mix."""
+    """doc_id, n_pieces, ids, decodes of every document of the mix."""
     return lattice.encode_documents(docs)
 
 
