@@ -23,8 +23,9 @@ from stockwell.llm.common import materialize
 
 M = 6
 CONFIDENCE = 0.98
-#: The upper tree is fitted on SAMPLE vectors at most and has MOST_CELLS cells at most, of about CELL_ROWS vectors; every vector is indexed.
-SAMPLE, MOST_CELLS, CELL_ROWS, LEAF = 8192, 4096, 512, 32
+#: Cells grow with the table, one for about CELL_ROWS vectors, up to MOST_CELLS; those of more than BLOCK_ROWS are searched in
+#: blocks. The tree is fitted on the projections of about SAMPLE vectors a cell; every vector is indexed.
+CELL_ROWS, MOST_CELLS, BLOCK_ROWS, SAMPLE, LEAF = 512, 1 << 16, 4096, 16, 32
 SEED = 11
 
 
@@ -142,10 +143,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col="vec_id", v
     ids = some.groupBy("h").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     distinct = rows.groupBy("h").agg(F.first("e").alias("e"))
     total = distinct.count()
-    some = distinct.where(F.pmod(F.xxhash64("h"), F.lit(max(1, total // SAMPLE))) == 0)
-    few = some.orderBy("h").limit(SAMPLE).select("e").toPandas()["e"]
     direction = projection(dim)
-    tree = Tree(_matrix(few) @ direction, min(MOST_CELLS, max(1, total // CELL_ROWS)))
+    cells = min(MOST_CELLS, max(1, total // CELL_ROWS))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def project(e: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(e) @ direction))
+
+    some = distinct.where(F.pmod(F.xxhash64("h"), F.lit(max(1, total // (cells * SAMPLE)))) == 0)
+    tree = Tree(_matrix(some.orderBy("h").select(project("e").alias("p")).toPandas()["p"]), cells)
     limit = chi_square_quantile(confidence)
     lows, highs = np.array(tree.lows), np.array(tree.highs)
 
@@ -153,20 +159,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col="vec_id", v
     def cell(e: pd.Series) -> pd.Series:
         return pd.Series(tree.cell_of(_matrix(e) @ direction).astype(np.int32))
 
-    indexed = materialize(distinct.join(ids, "h").withColumn("cell", cell("e")).select("cell", "e", "ids"), "ann-index")
-    asked = materialize(rows.where("q").select(F.col("vec_id").alias("query_id"), "e").distinct().withColumn("cell", cell("e")), "ann-queries")
+    found = materialize(distinct.join(ids, "h").withColumn("cell", cell("e")).select("h", "cell", "e", "ids"), "ann-cells")
+    # One row per cell: bounded by MOST_CELLS.
+    blocks = found.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    blocks = F.broadcast(materialize(blocks, "ann-blocks"))
+    indexed = found.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).cast("int")).select("cell", "block", "e", "ids")
+    # Equal queries are searched as one, for one neighbour more: each of them may be among what is found.
+    queries = rows.where("q").select(F.col("vec_id").alias("query_id"), "h").distinct()
+    asked = materialize(rows.where("q").groupBy("h").agg(F.first("e").alias("e")).withColumn("cell", cell("e")), "ann-queries")
+    most = k + 1
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """left: queries with the distance they have reached so far; right: one cell's vectors."""
-        names = ["query_id", "vec_id", "score"]
+        """left: queries with the distance they have reached so far; right: one block of a cell's vectors."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"h": np.zeros(0, object), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         own, ids = _matrix(right["e"]), right["ids"].tolist()
         points = own @ direction
         order, ends, leaf_lows, leaf_highs = split(points, LEAF)
         starts = [0, *ends[:-1]]
         out = []
-        for q, e, reached in zip(left["query_id"], _matrix(left["e"]), left["reached"], strict=True):
+        for q, e, reached in zip(left["h"], _matrix(left["e"]), left["reached"], strict=True):
             gap = gaps(e @ direction, leaf_lows, leaf_highs)
             best: list[tuple[float, int]] = []
             bound = reached
@@ -178,30 +190,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col="vec_id", v
                 dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
                 near = np.flatnonzero(dist <= bound)
                 if len(near):
-                    best += [(float(dist[j]), int(i)) for j in near.tolist() for i in ids[some[j]] if i != q]
-                    best = sorted(best)[:k]
-                    if len(best) == k:
+                    best += [(float(dist[j]), int(i)) for j in near.tolist() for i in ids[some[j]]]
+                    best = sorted(best)[:most]
+                    if len(best) == most:
                         bound = min(bound, best[-1][0])
             out += [(q, i, d) for d, i in best]
-        return pd.DataFrame(out, columns=names).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(out, columns=["h", "vec_id", "score"]).astype({"vec_id": "int64", "score": "float64"})
 
     def meet(queries: DataFrame) -> DataFrame:
-        return queries.groupBy("cell").cogroup(indexed.groupBy("cell")).applyInPandas(visit, "query_id long, vec_id long, score double")
+        queries = queries.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        return queries.groupBy("cell", "block").cogroup(indexed.groupBy("cell", "block")).applyInPandas(visit, "h string, vec_id long, score double")
 
     first = materialize(meet(asked.withColumn("reached", F.lit(float("inf")))), "ann-first")
-    reached = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(float("inf")).alias("reached"))
+    reached = first.groupBy("h").agg(F.get(F.array_sort(F.collect_list("score")), F.lit(most - 1)).alias("reached"))
 
     def more(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for q, e, home, r in zip(pdf["query_id"], pdf["e"], pdf["cell"], pdf["reached"], strict=True):
+            for q, e, home, r in zip(pdf["h"], pdf["e"], pdf["cell"], pdf["reached"], strict=True):
                 gap = gaps(np.asarray(e, np.float64) @ direction, lows, highs)
                 to = np.flatnonzero(gap <= limit * r * r)
                 to = to[to != home]
                 if len(to):
-                    yield pd.DataFrame({"query_id": q, "e": [e] * len(to), "cell": to.astype(np.int32), "reached": r})
+                    yield pd.DataFrame({"h": q, "e": [e] * len(to), "cell": to.astype(np.int32), "reached": r})
 
-    onward = asked.join(reached, "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(float("inf"))))
-    onward = onward.select("query_id", "e", "cell", "reached").mapInPandas(more, "query_id long, e array<double>, cell int, reached double")
-    found = first.unionByName(meet(onward)).distinct()
+    onward = asked.join(reached, "h", "left").withColumn("reached", F.coalesce("reached", F.lit(float("inf"))))
+    onward = onward.select("h", "e", "cell", "reached").mapInPandas(more, "h string, e array<double>, cell int, reached double")
+    best = first.unionByName(meet(onward)).distinct()
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("score", "vec_id"))).where(F.col("n") <= most).drop("n")
+    own = queries.join(materialize(best, "ann-best"), "h").where("vec_id <> query_id")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return own.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,16 +40,14 @@ def collapse(conversations: DataFrame) -> DataFrame:
     conv_id are one conversation, which counts as larger than all others. An empty table gives an empty
     result. Other columns are ignored.
     """
-    far = F.lit(2**63 - 1)
-    rows = conversations.select(F.coalesce(F.col("conv_id"), far).alias("conv_id"), "turn", "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text")
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     item = F.concat_ws("|", F.coalesce(F.length("role"), F.lit(-1)).cast("string"), "role", F.coalesce(F.length("text"), F.lit(-1)).cast("string"), "text")
     turns = rows.select("conv_id", F.row_number().over(by).alias("at"), item.alias("item"), _turn_text(F.col("role"), F.col("text")).alias("said"))
     kept = maximal(turns.select("conv_id", "at", "item"))
-    parts = turns.select("conv_id", "at", "said").join(kept, "conv_id")
+    parts = turns.select("conv_id", "at", "said").join(kept.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda s: s["said"]), "")
-    done = parts.groupBy("conv_id").agg(F.first("turns").alias("turns"), text.alias("rendered"))
-    return done.withColumn("conv_id", F.when(F.col("conv_id") != far, F.col("conv_id")))
+    return parts.groupBy("conv_id").agg(F.first("turns").alias("turns"), text.alias("rendered"))
 
 
 ORACLE = f"""

@@ -180,17 +180,20 @@ def document_probabilities(texts: list[bytes], w: dict[str, np.ndarray]) -> np.n
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def sample(rows: DataFrame, per_lang: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `per_lang` (lang, text) of each language: the smallest hash of an id in each of so many buckets.
+def sample(rows: DataFrame, per_lang: int = SAMPLE) -> list[tuple[str, list[bytes]]]:
+    """(lang, windows of PIECES places in a text) of at most `per_lang` texts of each language: the smallest hash of an id in each of so many buckets.
 
     Minima aggregate before the shuffle, so no language is gathered anywhere, however many rows it has.
     """
     keyed = rows.select("lang", F.xxhash64("doc_id").alias("x"), "text").where("lang is not null and text is not null")
     keyed = keyed.withColumn("bucket", F.pmod("x", F.lit(per_lang)))
     least = keyed.groupBy("lang", "bucket").agg(F.min("x").alias("x"))
-    got = keyed.join(F.broadcast(least), ["lang", "bucket", "x"]).select("lang", "x", "text", F.length("text").alias("n"))
+    got = keyed.join(F.broadcast(least), ["lang", "bucket", "x"])
     unique = got.groupBy("lang", "x").agg(F.min("text").alias("text"))
-    return sorted((r.lang, r.text) for r in unique.collect())
+    room = F.greatest(F.octet_length("text") - SEGMENT, F.lit(0))
+    places = [F.floor(room * k / F.lit(max(1, PIECES - 1))).cast("int") + 1 for k in range(PIECES)]
+    windows = F.array(*[F.substring(F.col("text").cast("binary"), at, F.lit(SEGMENT)) for at in places])
+    return sorted((r.lang, [bytes(w) for w in r.windows]) for r in unique.select("lang", windows.alias("windows")).collect())
 
 
 def fit(rows: DataFrame, per_lang: int = SAMPLE) -> Network:
@@ -198,12 +201,10 @@ def fit(rows: DataFrame, per_lang: int = SAMPLE) -> Network:
     got = sample(rows, per_lang)
     langs = sorted({lang for lang, _ in got})
     pieces, labels = [], []
-    for lang, text in got:
-        data = text.encode()
-        for k in range(PIECES):
-            lo = max(0, (len(data) - SEGMENT) * k // max(1, PIECES - 1))
-            if data[lo : lo + SEGMENT].strip():
-                pieces.append(data[lo : lo + SEGMENT])
+    for lang, windows in got:
+        for data in windows:
+            if data.strip():
+                pieces.append(data)
                 labels.append(langs.index(lang))
     return Network(langs if pieces else [], train(pieces, labels, len(langs)) if pieces else {})
 

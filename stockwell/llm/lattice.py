@@ -2,9 +2,9 @@
 
 A text is cut into units between which no piece reaches. The bounded-length substrings of a unit are
 exploded and joined to the piece table; the matches are the unit's edges, grouped by unit and folded with
-a higher-order aggregate. The tokenizer file is a BPE model: its result is not the best path by score
-(Viterbi) but that of merging, so the fold goes through the edges by merge rank and joins the two pieces
-that an edge spans at that moment. A unigram fold (Viterbi) is there for unigram piece tables.
+a higher-order aggregate: for a unigram piece table by Viterbi, the best path by score. The tokenizer file at
+hand is a BPE model: its result is not the best path but that of merging, so there the fold goes through the
+edges by merge rank and joins the two pieces that an edge spans at that moment.
 
 Frequent units, MOST_CACHED at most, are encoded once and sent to the executors as sorted 128-bit hashes
 and ids. One pass over the texts turns them into packed ids with holes for all other units; those units
@@ -42,18 +42,16 @@ _LETTER = r"[^\W\d_]"
 
 
 class Pieces:
-    """The vocabulary of a model file: ids, scores and byte pieces."""
+    """A vocabulary: ids and scores of the pieces, ids of bytes (none without byte fallback) and of what is unknown.
 
-    def __init__(self, path: str = MODEL):
-        import sentencepiece
+    In a BPE model the scores are the negated ranks of the merges; other scores are those of a unigram model.
+    """
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.ids = {model.id_to_piece(i): i for i in plain}
-        self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
-        self.unknown, self.size = model.unk_id(), n
+    def __init__(self, ids: dict[str, int], scores: dict[str, float], of_bytes: dict[int, int], unknown: int, n: int):
+        self.ids, self.scores, self.bytes, self.unknown, self.size = ids, scores, of_bytes, unknown, n
+        self.unigram = any(s != int(s) for s in scores.values())
+        #: What a code point that is no piece counts in a unigram model.
+        self.penalty = min(scores.values(), default=0.0) - 10.0
         #: How ids are packed, and the number that stands for a unit that is not encoded yet.
         self.dtype = np.dtype("<u2" if n < 0xFFFF else "<u4")
         self.hole = int(np.iinfo(self.dtype).max)
@@ -61,6 +59,16 @@ class Pieces:
         self._mark = re.compile(rf"[{after}](?<={_LETTER}.)")
         self._unit = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
+    @classmethod
+    def of_file(cls, path: str = MODEL) -> Pieces:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = model.get_piece_size()
+        plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        of_bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
+        return cls({model.id_to_piece(i): i for i in plain}, {model.id_to_piece(i): model.get_score(i) for i in plain}, of_bytes, model.unk_id(), n)
+
     def _marks(self) -> list[str]:
         """Characters that no piece has after a letter. Pieces must not reach over a space after something else or a line feed."""
         letter = re.compile(_LETTER)
@@ -74,15 +82,25 @@ class Pieces:
         return sorted(marks)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """piece, rank (1 is merged first) of the pieces of two code points or more; as many rows as the vocabulary has at most."""
-        several = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-self.scores[p], self.ids[p]))
-        return spark.createDataFrame(pd.DataFrame({"piece": several, "rank": np.arange(1, len(several) + 1, dtype=np.int32)}), "piece string, rank int")
+        """piece, rank (1 is merged first), score: of a BPE model the pieces of two code points or more; at most as many rows as the vocabulary has."""
+        several = sorted((p for p in self.ids if self.unigram or len(p) > 1), key=lambda p: (-self.scores[p], self.ids[p]))
+        rows = pd.DataFrame({"piece": several, "rank": np.arange(1, len(several) + 1, dtype=np.int32), "score": [float(self.scores[p]) for p in several]})
+        return spark.createDataFrame(rows, "piece string, rank int, score double")
 
     def ids_of(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
         if found is not None:
             return [found]
-        return [self.bytes[b] if b in self.bytes else self.unknown for b in piece.encode()]
+        return [self.bytes[b] if b in self.bytes else self.unknown for b in piece.encode()] if self.bytes else [self.unknown]
+
+    def texts(self) -> list[bytes]:
+        """What each id stands for: nothing for control pieces and the unknown."""
+        out = [b""] * self.size
+        for p, i in self.ids.items():
+            out[i] = p.replace(SPACE, " ").encode()
+        for b, i in self.bytes.items():
+            out[i] = bytes([b])
+        return out
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -150,7 +168,7 @@ def long_merge_fold(edges: Column, n: Column) -> Column:
     return _once(marks, lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(m, i + 1, F.lit(1)) == "1"))
 
 
-def viterbi_fold(edges: Column, n: Column) -> Column:
+def viterbi_fold(edges: Column) -> Column:
     """Boundaries of the path of the highest total score. edges: array of (e, s, score), sorted, one of each position at least.
 
     Ties go to the edge that starts first. The state is, per position, the best score and path so far.
@@ -167,32 +185,41 @@ def viterbi_fold(edges: Column, n: Column) -> Column:
     return F.element_at(F.aggregate(edges, start, step), -1)["path"]
 
 
-def lattice(rows: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """The edges of the units of `rows`: keys, n, rank, s, e, and in one row of each unit all other columns of `rows`.
+def lattice(rows: DataFrame, keys: list[str], pieces: DataFrame, penalty: float | None = None) -> DataFrame:
+    """The edges of the units of `rows`: keys, n, rank, score, s, e, and in one row of each unit all other columns of `rows`.
 
     That row has no edge where the unit's first two code points are no piece, and where `unit` is null; units
-    of one code point have no edges. The other columns are null in the other rows. Nothing is shuffled.
+    of one code point have no edges. With a `penalty` (unigram), every code point is an edge, of that score if it
+    is no piece. The other columns are null in the other rows. Nothing is shuffled.
     """
+    least = 2 if penalty is None else 1
     others = [c for c in rows.columns if c not in (*keys, "unit")]
     cut = rows.withColumn("n", F.length("unit"))
-    cut = cut.select(*keys, "unit", "n", *others, F.explode_outer(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - 2))).alias("s"))
+    cut = cut.select(*keys, "unit", "n", *others, F.explode_outer(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("n") - least))).alias("s"))
     # No piece begins with a prefix that no piece has: few beginnings need all lengths looked up.
     prefix = F.substring(F.col("unit"), F.col("s") + 1, F.lit(PREFIX))
     reach = pieces.where(F.length("piece") >= PREFIX).groupBy(F.substring("piece", 1, PREFIX).alias("_prefix")).agg(F.max(F.length("piece")).alias("_reach"))
     cut = cut.withColumn("_prefix", prefix).join(F.broadcast(reach), "_prefix", "left")
     size = F.least(F.coalesce("_reach", F.lit(PREFIX - 1)), F.col("n") - F.col("s"))
-    size = F.when(F.col("s").isNotNull(), F.sequence(F.lit(2), size))
+    size = F.when(F.col("s").isNotNull(), F.sequence(F.lit(least), size))
     cut = cut.select(*keys, "unit", "n", *others, "s", F.explode_outer(size).alias("size"))
     cut = cut.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("size")))
-    first = F.col("s").isNull() | (F.col("s") == 0) & (F.col("size") == 2)
-    edges = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("rank").isNotNull() | first)
-    return edges.select(*keys, "n", "rank", "s", (F.col("s") + F.col("size")).alias("e"), *[F.when(first, F.col(c)).alias(c) for c in ["unit", *others]])
+    first = F.col("s").isNull() | (F.col("s") == 0) & (F.col("size") == least)
+    edges = cut.join(F.broadcast(pieces), "piece", "left")
+    if penalty is not None:
+        edges = edges.withColumn("score", F.coalesce("score", F.when(F.col("size") == 1, F.lit(penalty))))
+    edges = edges.where(F.col("rank").isNotNull() | F.col("score").isNotNull() | first)
+    return edges.select(*keys, "n", "rank", "score", "s", (F.col("s") + F.col("size")).alias("e"), *[F.when(first, F.col(c)).alias(c) for c in ["unit", *others]])
 
 
 def encode_units(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     """The rows of `rows`, keys being unique, with cuts: the boundaries of the pieces of `unit`; null where no merge applies to it."""
     others = [c for c in rows.columns if c not in keys]
-    edges = lattice(rows, keys, pieces.table(rows.sparkSession))
+    edges = lattice(rows, keys, pieces.table(rows.sparkSession), pieces.penalty if pieces.unigram else None)
+    if pieces.unigram:
+        path = F.when(F.col("score").isNotNull(), F.struct("e", "s", "score"))
+        units = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(path)).alias("path"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
+        return units.select(*keys, *others, F.when(F.size("path") > 0, viterbi_fold(F.col("path"))).alias("cuts"))
     few = F.col("n") <= SHORT
     short = F.when(few & F.col("rank").isNotNull(), pack(F.col("rank"), F.col("s"), F.col("e")))
     long = F.when(~few & F.col("rank").isNotNull(), F.struct("rank", "s", "e"))
@@ -337,15 +364,15 @@ def _tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_col="text", most_cached: int = MOST_CACHED) -> DataFrame:
-    """doc_id, n_pieces, ids for every row of `docs`: the ids of the model's pieces for its whole text.
+def encode_documents(docs: DataFrame, model: str | Pieces = MODEL, id_col="doc_id", text_col="text", most_cached: int = MOST_CACHED) -> DataFrame:
+    """doc_id, n_pieces, ids, decodes for every row of `docs`: the ids of the model's pieces for its whole text.
 
-    A null text has a null ids array and 0 pieces, an empty one an empty array. The model turns U+2581 into
+    decodes: whether the ids, decoded, are the text again (null for a null text). A null text has a null ids array and 0 pieces, an empty one an empty array. The model turns U+2581 into
     a space, as its library does; all else is kept. Repeated rows stay; an empty table gives an empty
     result; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = Pieces(model)
+    pieces = model if isinstance(model, Pieces) else Pieces.of_file(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
     shared = spark.sparkContext.broadcast(cached_table(rows.where("text is not null"), pieces, most_cached))
@@ -357,7 +384,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                own, numbers, at, units, packed, places = [], [], [], [], [], []
+                own, numbers, at, units, packed, places, marks = [], [], [], [], [], [], []
                 for k, (x, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     ids, holes, missing = (None, None, ()) if text is None else table.encode(pieces, text)
                     own += [x] * (1 + len(missing))
@@ -366,17 +393,18 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
                     units += [None, *missing]
                     packed += [None if ids is None else small.compress(ids), *[None] * len(missing)]
                     places += [holes or None, *[None] * len(missing)]
+                    marks += [None if text is None else _mark(text.replace(SPACE, " ").encode()), *[None] * len(missing)]
                 columns = [pa.array(own, pa.int64()), part.column(0).take(pa.array(numbers, pa.int32())), pa.array(at, pa.int32())]
-                columns += [pa.array(units, pa.string()), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["x", "doc_id", "i", "unit", "packed", "places"])
+                columns += [pa.array(units, pa.string()), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(marks, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["x", "doc_id", "i", "unit", "packed", "places", "mark"])
 
     # The number of a row, the same when its part of the input is read again.
     numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("x"), "text")
-    holed = numbered.mapInArrow(with_holes, f"x long, doc_id {id_type}, i int, unit string, packed binary, places array<int>")
+    holed = numbered.mapInArrow(with_holes, f"x long, doc_id {id_type}, i int, unit string, packed binary, places array<int>, mark long")
     # The one shuffle of what texts become: the lattice and both groupings stay inside these partitions.
     filled = encode_units(holed.repartition(_tasks(spark), "x"), ["x", "i"], pieces)
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
-    filled = filled.groupBy("x").agg(one("doc_id"), one("packed"), one("places"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "unit", "cuts"))).alias("units"))
+    filled = filled.groupBy("x").agg(one("doc_id"), one("packed"), one("places"), one("mark"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "unit", "cuts"))).alias("units"))
 
     def ids_of(packed: bytes, places, units) -> np.ndarray:
         ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), pieces.dtype)
@@ -394,29 +422,33 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col="doc_id", text_
         return out
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_of = pieces.texts().__getitem__
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
+                marks = part.column(4).to_pylist()
                 out = [None if b is None else ids_of(b, p, u) for b, p, u in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
                 sizes = np.array([0 if r is None else len(r) for r in out], np.int64)
                 flat = np.concatenate([r for r in out if r is not None] or [np.zeros(0, np.int32)])
                 ends = pa.array([None if r is None else e for r, e in zip(out, np.cumsum(sizes) - sizes, strict=True)] + [len(flat)], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))], ["doc_id", "n_pieces", "ids"])
+                same = [None if r is None else _mark(b"".join(map(text_of, r.tolist()))[1:]) == m for r, m in zip(out, marks, strict=True)]
+                columns = [part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids", "decodes"])
+
+    return filled.select("doc_id", "packed", "places", "units", "mark").mapInArrow(assemble, f"doc_id {id_type}, n_pieces long, ids array<int>, decodes boolean")
+
 
-    return filled.select("doc_id", "packed", "places", "units").mapInArrow(assemble, f"doc_id {id_type}, n_pieces long, ids array<int>")
+def _mark(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def decode_ids(ids: Column, model: str = MODEL) -> Column:
+def decode_ids(ids: Column, model: str | Pieces = MODEL) -> Column:
     """The text of an array of ids: bytes of the pieces in a row, as UTF-8 (invalid bytes replaced), without the leading space.
 
     Ids outside the vocabulary, and control pieces, stand for nothing; null stays null.
     """
-    pieces = Pieces(model)
-    of = [""] * pieces.size
-    for p, i in pieces.ids.items():
-        of[i] = p.replace(SPACE, " ").encode().hex()
-    for b, i in pieces.bytes.items():
-        of[i] = f"{b:02x}"
+    pieces = model if isinstance(model, Pieces) else Pieces.of_file(model)
+    of = [b.hex() for b in pieces.texts()]
     names = F.array(*[F.lit(h) for h in of]) if len(of) < 256 else F.split(F.lit(",".join(of)), ",", -1)
     text = F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(names, i), F.lit(""))), "")
     whole = F.decode(F.unhex(text), "UTF-8")

@@ -8,7 +8,7 @@ sampled at the same rate and the words taken stay close to the target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,15 +41,16 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most=MOST_COPIES) -> DataF
     return by.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=SEED, weights=WEIGHTS, most=MOST_COPIES) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for every row of `docs`.
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed=SEED, weights=WEIGHTS, most=MOST_COPIES, row: Column | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for every row of `docs`, and `row` if given, an expression over `docs`.
 
     Null texts have size 0; a null source is a source of its own, last in order; documents of a source
     without words get no copies. Rows with equal doc_id and size are numbered in any order, which changes
     no total. An empty table gives an empty result. Other columns are ignored.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    carried = [] if row is None else [row.alias("row")]
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *carried)
     sized = materialize(sized, "mix-sizes")
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keyed = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
@@ -62,16 +63,15 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     )
     cross = lambda k: F.floor(k * F.col("rate") + F.col("u"))
     copies = (cross(F.col("at")) - cross(F.col("at") - 1)).cast("int")
-    return rows.join(targets, "skey").select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return rows.join(targets, "skey").select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *(["row"] if carried else []))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col="doc_id") -> DataFrame:
-    """The mix itself: each row of `docs` as many times as `mixed` has copies of it.
-
-    Rows that share a doc_id share their copies: each of them is emitted as often as the largest count.
-    """
-    copies = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def emit(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
+    """The mix itself: each row of `docs` as many times as mix() has copies of it. Rows equal in all columns share theirs."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("x"), F.xxhash64(F.lit(1), *docs.columns).alias("y"))
+    copies = mix(docs, id_col, row=row, **options).where("copies > 0").groupBy("row").agg(F.sum("copies").cast("int").alias("copies"))
+    rows = docs.select(row.alias("row"), F.struct(*docs.columns).alias("doc")).join(copies, "row").dropDuplicates(["row"])
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 ORACLE = r"""

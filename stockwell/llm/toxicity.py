@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score from its words' features; the
-document's probability is the noisy-or of them, 1 - prod(1 - p). Only documents have labels: gradients
-flow through the noisy-or to the sentences, whose scores then locate what offends.
+A document is a bag of sentences. Each sentence with features that were learned has a logistic score from
+them, and the document's probability is the noisy-or of these scores and of a leak that every document has,
+1 - (1 - leak) * prod(1 - p). A sentence without evidence adds nothing, so length alone makes no text
+suspect. Only documents have labels: gradients flow through the noisy-or to the sentences, whose scores then
+locate what offends. What is fitted is what scores.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: At most SAMPLE documents of each label are learned from.
-SAMPLE = 2500
+#: At most SAMPLE documents of each label are learned from, all of LONGEST code points at most.
+SAMPLE, LONGEST = 2500, 200_000
 #: A feature must be in so many documents, and so much more often in one label than chance, to be learned.
 LEAST_DOCS, LEAST_Z = 3, 5.0
 STEPS, RATE, DECAY = 200, 0.05, 1e-3
@@ -29,7 +31,8 @@ _TOKEN = re.compile(r"\w+")
 @dataclass
 class Model:
     weights: dict[str, float]  # of whole words and of "^" + the first four letters
-    bias: float
+    bias: float  # of every sentence with a feature
+    leak: float = -6.0  # log odds
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -54,6 +57,7 @@ def sample(rows: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> list[
     `labels`: doc_id, label. The chosen ids are a table of 2 x per_label rows at most, so it is broadcast.
     """
     known = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = rows.where(F.length("text") <= LONGEST)
     known = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     keyed = known.withColumn("x", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("x", F.lit(per_label)))
     chosen = keyed.groupBy("label", "bucket").agg(F.min("x").alias("x"), F.min_by("doc_id", "x").alias("doc_id")).select("label", "doc_id")
@@ -78,10 +82,11 @@ def train(bags: list[tuple[int, str]]) -> Model:
             prior[f] = float(np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1)))
     names = sorted(prior)
     if not positive or positive == len(bags) or not names:
-        return Model({}, float(np.log(rate / (1 - rate)) if bags else -5.0))
+        leak = float(np.log(rate / (1 - rate)) if bags else -5.0)
+        return Model({}, leak, leak)
     index = {f: i for i, f in enumerate(names)}
     doc_of, sent_of, feat = [], [], []
-    empty, sent = np.zeros(len(bags)), 0
+    sent = 0
     for d, (_, text) in enumerate(bags):
         for lo, hi in sentences(text):
             known = [index[f] for f in features(_tokens(text[lo:hi])) if f in index]
@@ -90,29 +95,28 @@ def train(bags: list[tuple[int, str]]) -> Model:
                 sent_of += [sent] * len(known)
                 doc_of.append(d)
                 sent += 1
-            else:
-                empty[d] += 1
     doc_of, sent_of, feat = np.array(doc_of, np.int64), np.array(sent_of, np.int64), np.array(feat, np.int64)
     y = np.array([y for y, _ in bags], float)
     # Weights start at, and are drawn to, each feature's log odds: else one word of several explains a document away.
     w0 = np.array([prior[f] for f in names])
-    w, b = w0.copy(), -6.0
-    state = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
+    w, b, leak = w0.copy(), -6.0, -6.0
+    state = [np.zeros(len(names) + 2), np.zeros(len(names) + 2)]
     for step in range(STEPS):
         s = b + np.bincount(sent_of, w[feat], minlength=sent)
-        p, p0 = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(-b))
-        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags)) + empty * np.log1p(-p0)
+        p, p0 = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(-leak))
+        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags)) + np.log1p(-p0)
         doc = np.clip(-np.expm1(none), 1e-6, 1 - 1e-6)
         # d loss / d score of a sentence = p of it times (1 - y / doc), by the noisy-or's chain rule
         push = (1 - y / doc) / len(bags)
         per_sentence = push[doc_of] * p
-        g = np.append(np.bincount(feat, per_sentence[sent_of], minlength=len(names)) + DECAY * (w - w0) / len(names) ** 0.5, per_sentence.sum() + (push * empty).sum() * p0)
+        g = np.append(np.bincount(feat, per_sentence[sent_of], minlength=len(names)) + DECAY * (w - w0) / len(names) ** 0.5, [per_sentence.sum(), push.sum() * p0])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = RATE * (state[0] / (1 - 0.9 ** (step + 1))) / (np.sqrt(state[1] / (1 - 0.99 ** (step + 1))) + 1e-9)
-        w -= move[:-1]
-        b = min(b - move[-1], -2.0)
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
+        w -= move[:-2]
+        b -= move[-2]
+        leak -= move[-1]
+    return Model({f: float(x) for f, x in zip(names, w, strict=True)}, float(b), float(leak))
 
 
 def fit(rows: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
@@ -123,11 +127,10 @@ def fit(rows: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
 def score_text(text: str, model: Model) -> tuple[float, float, int, int, int]:
     """(score, highest sentence score, begin and end of that sentence, sentences scored 0.5 or more).
 
-    The score weighs the document's noisy-or against that of as many sentences without any evidence, so
-    that length alone makes no text suspect. Without sentences: the evidence-free score, (0, 0), 0.
+    The score is the fitted noisy-or. Without evidence: the leak, (0, 0), 0.
     """
     weights = model.weights
-    base = 1 / (1 + np.exp(-model.bias))
+    base = float(1 / (1 + np.exp(-model.leak)))
     lowered = text.lower()
     if len(lowered) != len(text):  # letters whose lower case is longer: keep positions those of the text
         lowered = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -142,19 +145,18 @@ def score_text(text: str, model: Model) -> tuple[float, float, int, int, int]:
                 s.add(w)
             if hit[1]:
                 s.add("^" + w[:4])
-    none, best, begin, flagged = 0.0, base, 0, 0
+    none, best, begin, flagged = float(np.log1p(-base)), 0.0, 0, 0
     for lo, found in by_sentence.items():
         p = 1 / (1 + np.exp(-(model.bias + sum(weights[f] for f in found))))
-        none += np.log1p(-min(p, 1 - 1e-9)) - np.log1p(-base)
+        none += np.log1p(-min(p, 1 - 1e-9))
         flagged += p >= 0.5
         if p > best:
             best, begin = p, lo
     end = 0
-    if best > base:
+    if best > 0:
         stop = re.compile(r"[.!?\n]").search(text, begin)
         end = stop.start() if stop else len(text)
-    score = 1 - np.exp(min(0.0, none + np.log1p(-base)))
-    return float(score), float(best), begin, end, int(flagged)
+    return float(-np.expm1(none)), float(max(best, base)), begin, end, int(flagged)
 
 
 _RESULT = "score double, worst_score double, worst_begin int, worst_end int, n_flagged int, predicted int"

@@ -236,7 +236,7 @@ def test_mix(spark, docs, rows, none):
     many = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
     for _, part in mixing.mix(many).toPandas().groupby("source"):
         assert abs(part.taken.sum() - part.target.iloc[0]) < 80
-    emitted = mixing.emit(many, mixing.mix(many))
+    emitted = mixing.emit(many)
     assert emitted.columns == many.columns and emitted.count() == mixing.mix(many).agg(F.sum("copies")).first()[0]
 
 
@@ -470,6 +470,33 @@ def test_encoding_equals_the_library(docs, rows, none):
                 t = known[r.doc_id]
                 assert r.ids == (None if t is None else model.encode(t))
                 assert r.back == (None if t is None else t.replace(lattice.SPACE, " "))
+                assert r.decodes is (None if t is None else True)
+
+
+def test_unigram_pieces_take_the_best_path(spark):
+    rng = random.Random(8)
+    names = ["▁", *"abcde", *{"".join(rng.choice("▁abcde" if k == 0 else "abcde") for k in range(rng.randint(2, 5))) for _ in range(120)}]
+    scores = {p: -rng.random() * 3 * len(p) - 0.5 for p in names}
+    for byte in ({}, {b: 1000 + b for b in range(256)}):
+        pieces = lattice.Pieces({p: i + 1 for i, p in enumerate(names)}, scores, byte, 0, 1300)
+        assert pieces.unigram
+
+        def best(unit, pieces=pieces):
+            paths = [(0.0, [])]
+            for e in range(1, len(unit) + 1):
+                reach = [(paths[s][0] + scores.get(unit[s:e], pieces.penalty if e - s == 1 else -1e9), s) for s in range(e)]
+                top = max(reach)
+                paths.append((top[0], [*paths[top[1]][1], unit[top[1] : e]]))
+            return [i for p in paths[-1][1] for i in pieces.ids_of(p)]
+
+        texts = ["", "a", "x", None, "é abc", *[" ".join("".join(rng.choice("abcdex") for _ in range(rng.randint(1, 9))) for _ in range(12)) for _ in range(40)]]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for cached in (5, 1 << 20):
+            got = {r.doc_id: r for r in lattice.encode_documents(df, pieces, most_cached=cached).collect()}
+            for i, t in enumerate(texts):
+                assert got[i].ids == (None if t is None else [x for u in pieces.units(t) for x in best(u)])
+                if byte and t is not None:
+                    assert got[i].decodes
 
 
 def test_viterbi_fold(spark):
@@ -486,7 +513,7 @@ def test_viterbi_fold(spark):
     for u in ("abc", "abcabc", "cab", "bbca"):
         edges = sorted((e, s, scores[u[s:e]]) for s in range(len(u)) for e in range(s + 1, len(u) + 1) if u[s:e] in scores)
         df = spark.createDataFrame([(edges, len(u))], "edges array<struct<e: int, s: int, score: double>>, n int")
-        cuts = df.select(lattice.viterbi_fold(F.col("edges"), F.col("n")).alias("c")).first().c
+        cuts = df.select(lattice.viterbi_fold(F.col("edges")).alias("c")).first().c
         assert abs(sum(scores[u[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)) - best(u)) < 1e-9
 
 
