@@ -475,7 +475,7 @@ def test_encoding_equals_the_library(docs, rows, none):
 
 def test_unigram_pieces_take_the_best_path(spark):
     rng = random.Random(8)
-    names = ["▁", *"abcde", *{"".join(rng.choice("▁abcde" if k == 0 else "abcde") for k in range(rng.randint(2, 5))) for _ in range(120)}]
+    names = ["▁", *"abcde", *sorted({"".join(rng.choice("▁abcde" if k == 0 else "abcde") for k in range(rng.randint(2, 5))) for _ in range(120)})]
     scores = {p: -rng.random() * 3 * len(p) - 0.5 for p in names}
     for byte in ({}, {b: 1000 + b for b in range(256)}):
         pieces = lattice.Pieces({p: i + 1 for i, p in enumerate(names)}, scores, byte, 0, 1300)
@@ -485,7 +485,7 @@ def test_unigram_pieces_take_the_best_path(spark):
             paths = [(0.0, [])]
             for e in range(1, len(unit) + 1):
                 reach = [(paths[s][0] + scores.get(unit[s:e], pieces.penalty if e - s == 1 else -1e9), s) for s in range(e)]
-                top = max(reach)
+                top = max(reach, key=lambda x: (x[0], -x[1]))  # ties: the edge that starts first
                 paths.append((top[0], [*paths[top[1]][1], unit[top[1] : e]]))
             return [i for p in paths[-1][1] for i in pieces.ids_of(p)]
 
