@@ -14,12 +14,12 @@ are dealt out beside their document's packed ids, go through the lattice there,
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +34,10 @@ SPACE = "▁"
 MOST_CACHED = 1 << 20
 #: Beginnings of pieces that tell how long a piece may get.
 PREFIX = 4
-#: Words whose ids a worker remembers.
-MEMO = 400_000
+#: Bytes of the texts that a worker goes through at a time, about: when it counts, and when it encodes.
+COUNTED, CHUNK = 12 << 20, 4 << 20
 #: Units of up to so many code points keep their boundaries in the bits of one bigint.
 SHORT = 62
-_LETTER = r"[^\W\d_]"
 
 
 class Pieces:
@@ -55,8 +54,7 @@ class Pieces:
         #: How ids are packed, and the number that stands for a unit that is not encoded yet.
         self.dtype = np.dtype("<u2" if n < 0xFFFF else "<u4")
         self.hole = int(np.iinfo(self.dtype).max)
-        after = "".join(map(re.escape, self._marks()))
-        self._mark = re.compile(rf"[{after}](?<={_LETTER}.)")
+        self._mark = f"[{''.join(map(re.escape, self._marks()))}]"
         self._unit = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
     @classmethod
@@ -71,11 +69,10 @@ class Pieces:
 
     def _marks(self) -> list[str]:
         """Characters that no piece has after a letter. Pieces must not reach over a space after something else or a line feed."""
-        letter = re.compile(_LETTER)
         marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
         for p in self.ids:
             for a, b in zip(p, p[1:], strict=False):
-                if letter.match(a):
+                if a.isalpha():
                     marks.discard(b)
                 if b == SPACE and a != SPACE or "\n" in (a, b):
                     raise ValueError(f"a piece reaches over the end of a unit: {p!r}")
@@ -102,9 +99,6 @@ class Pieces:
             out[i] = bytes([b])
         return out
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
     def words(self, text: str) -> list[str]:
         """The words of a text, with the leading space that the model adds; joined they are the text. Empty: none.
 
@@ -117,12 +111,34 @@ class Pieces:
         spaced = SPACE + text.replace(" ", " " + SPACE)
         return [w for w in spaced.replace("\n", " \n ").split(" ") if w] if "\n" in spaced else spaced.split(" ")
 
-    def split(self, word: str) -> list[str]:
-        """The units of a word: one begins at each mark after a letter as well."""
-        return [word] if word[1:].isalpha() else self._mark.sub(r" \g<0>", word).split(" ")
+    def word_arrays(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """(rows, their words in a row, the number of words of each): words() of many texts, in two parts."""
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.starts_with(texts, " "))
+        odd = odd.to_numpy(zero_copy_only=False)
+        for spaces in (False, True):
+            rows = np.flatnonzero(odd == spaces)
+            if not len(rows):
+                continue
+            some = texts.take(pa.array(rows))
+            if spaces:
+                marked = pc.replace_substring_regex(pc.replace_substring(some, " ", SPACE), f"({SPACE}+)", r" \1")
+                marked = pc.if_else(pc.starts_with(marked, " "), pc.binary_join_element_wise(f" {SPACE}", pc.utf8_slice_codeunits(marked, 1), ""), pc.binary_join_element_wise(SPACE, marked, ""))
+            else:
+                marked = pc.if_else(pc.equal(some, ""), "", pc.binary_join_element_wise(SPACE, pc.replace_substring(some, " ", f" {SPACE}"), ""))
+            lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \n "), " ")
+            words = lists.flatten()
+            real = pc.not_equal(words, "")
+            upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            yield rows, words.filter(real), np.diff(upto[ends])
+
+    def unit_arrays(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of words in a row, and the number of each word's: one begins at each mark after a letter as well."""
+        lists = pc.split_pattern(pc.replace_substring_regex(words, rf"(\p{{L}})({self._mark})", r"\1 \2"), " ")
+        return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
     def units(self, text: str) -> list[str]:
-        return [u for w in self.words(text) for u in self.split(w)]
+        return self.unit_arrays(pa.array(self.words(text), pa.string()))[0].to_pylist()
 
 
 def _once(value: Column, use) -> Column:
@@ -236,20 +252,13 @@ def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Da
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for text in _texts(batches):
-            seen.update(pieces.words(text))
-            if len(seen) > 300_000:
-                yield several(seen)
-                seen.clear()
-        yield several(seen)
-
-    def several(seen: Counter) -> pa.RecordBatch:
-        units: dict[str, int] = {}
-        for word, n in seen.items():
-            for u in pieces.split(word):
-                units[u] = units.get(u, 0) + n
-        return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
+        for part in _chunks(batches, 0, COUNTED):
+            for _, words, _ in pieces.word_arrays(part.column(0)):
+                several = words.value_counts()
+                units, each = pieces.unit_arrays(several.field(0))
+                coded = units.dictionary_encode()
+                n = np.bincount(coded.indices.to_numpy(), np.repeat(several.field(1).to_numpy(), each), len(coded.dictionary))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], ["unit", "n"])
 
     counts = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where("n > 1"), "sp-units")
@@ -259,11 +268,15 @@ def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Da
     return counts.where(F.col("n") >= (least if least is not None else 2**62)).select("unit")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
-    """The texts of batches of one column, few at a time as Python objects."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `size` bytes of the texts in `column`, a longer text alone."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            yield from batch.column(0).slice(lo, 256).to_pylist()
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def _hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,58 +286,57 @@ def _hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 1].astype(np.uint64), both[:, 0].astype(np.uint64)
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i] to starts[i] + sizes[i], for each i in turn."""
+    after = np.cumsum(sizes)
+    return np.repeat(starts - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
+
+
 class Table:
-    """Packed ids of known units: hashes sorted by their first half, where each unit's ids start in `ids`, and how many."""
+    """Ids of known units: hashes sorted by their first half, where each unit's ids start in `ids`, and how many."""
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(lo, kind="stable")
         starts = np.cumsum(sizes) - sizes
-        self.memo: dict[str, bytes] = {}
-        self.lo, self.hi, self.starts, self.sizes = lo[order], hi[order], starts[order].astype(np.int32), sizes[order].astype(np.int32)
-        self.ids, self.width = ids.tobytes(), ids.itemsize
-
-    def find(self, some: list[str]) -> list[bytes | None]:
-        """The packed ids of each unit, None if unknown."""
-        if not some or not len(self.lo):
-            return [None] * len(some)
-        lo, hi = _hashes(some)
-        at = np.minimum(np.searchsorted(self.lo, lo), len(self.lo) - 1)
-        known = (self.lo[at] == lo) & (self.hi[at] == hi)
-        starts = self.starts[at].astype(np.int64) * self.width
-        ends = starts + self.sizes[at].astype(np.int64) * self.width
-        return [self.ids[a:b] if k else None for a, b, k in zip(starts.tolist(), ends.tolist(), known.tolist(), strict=True)]
-
-    def encode(self, pieces: Pieces, text: str) -> tuple[bytes, list[int], list[str]]:
-        """The packed ids of a text with holes for unknown units, the number of the unit of each hole, and those units."""
-        memo = self.memo
-        words = pieces.words(text)
-        packed = list(map(memo.get, words))
-        if None not in packed:
-            return b"".join(packed), [], []
-        gone = [k for k, b in enumerate(packed) if b is None]
-        new = list({words[k] for k in gone})
-        parts = [pieces.split(w) for w in new]
-        found = iter(self.find([u for p in parts for u in p]))
-        hole, here, gaps = pieces.pack([pieces.hole]), {}, {}
-        for word, own in zip(new, parts, strict=True):
-            out, missing = [], []
-            for u in own:
-                ids = next(found)
-                if ids is None and len(u) == 1:
-                    ids = pieces.pack(pieces.ids_of(u))
-                if ids is None:
-                    missing.append(u)
-                out.append(hole if ids is None else ids)
-            here[word] = b"".join(out)
-            if missing:
-                gaps[word] = missing
-        units = {u: i for i, u in enumerate(dict.fromkeys(u for m in gaps.values() for u in m))}
-        places = [units[u] for k in gone if words[k] in gaps for u in gaps[words[k]]] if gaps else []
-        for k in gone:
-            packed[k] = here[words[k]]
-        if len(memo) < MEMO:
-            memo.update((w, b) for w, b in here.items() if w not in gaps)
-        return b"".join(packed), places, list(units)
+        self.lo, self.hi, self.starts, self.sizes, self.ids = lo[order], hi[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), ids
+
+    def find(self, pieces: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each unit's start in them, how many, which units are unknown and have one hole)."""
+        starts, sizes = np.full(len(units), len(self.ids)), np.ones(len(units), np.int64)
+        known = np.zeros(len(units), bool)
+        if len(self.lo) and units:
+            lo, hi = _hashes(units)
+            at = np.minimum(np.searchsorted(self.lo, lo), len(self.lo) - 1)
+            known = (self.lo[at] == lo) & (self.hi[at] == hi)
+            starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        more = [pieces.hole]
+        for k in np.flatnonzero(~known).tolist():
+            if len(units[k]) == 1:
+                own = pieces.ids_of(units[k])
+                starts[k], sizes[k], known[k] = len(self.ids) + len(more), len(own), True
+                more += own
+        return np.concatenate([self.ids, np.array(more, pieces.dtype)]), starts, sizes, ~known
+
+    def encode(self, pieces: Pieces, words: pa.Array, counts: np.ndarray) -> Iterator[tuple[bytes, list[int], list[str]]]:
+        """For each of some texts, given all their words: packed ids with holes, the number of the unit of each hole, and those units."""
+        coded = words.dictionary_encode()
+        units, each = pieces.unit_arrays(coded.dictionary)
+        units = units.dictionary_encode()
+        names, unit_of = units.dictionary.to_pylist(), units.indices.to_numpy()
+        word = coded.indices.to_numpy()
+        stream = unit_of[_ragged((np.cumsum(each) - each)[word], each[word])]  # all units of all texts
+        ends = np.concatenate([[0], np.cumsum(each[word])])[np.cumsum(counts)]
+        source, starts, sizes, unknown = self.find(pieces, names)
+        ids = source[_ragged(starts[stream], sizes[stream])]
+        cuts = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes[stream])])[ends]]).tolist()
+        at = np.flatnonzero(unknown[stream])
+        own: dict[int, list[int]] = {}
+        for t, u in zip(np.searchsorted(ends, at, "right").tolist(), stream[at].tolist(), strict=True):
+            own.setdefault(t, []).append(u)
+        for t, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            here: dict[int, int] = {}
+            places = [here.setdefault(u, len(here)) for u in own.get(t, ())]
+            yield ids[lo:hi].tobytes(), places, [names[u] for u in here]
 
 
 def _ids_of_cuts(pieces: Pieces, unit: str, cuts) -> list[int]:
@@ -381,22 +393,31 @@ def encode_documents(docs: DataFrame, model: str | Pieces = MODEL, id_col="doc_i
     def with_holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with the packed ids of each text, and one for each of its units that is not in the table."""
         table, small = shared.value, zstandard.ZstdCompressor(level=3)
+
+        def rows_of(part: pa.RecordBatch, coded, marks: list) -> pa.RecordBatch:
+            own, numbers, at, units, packed, places, told = [], [], [], [], [], [], []
+            for k, (x, (ids, holes, missing), mark) in enumerate(zip(part.column(1).to_pylist(), coded, marks, strict=True)):
+                none = [None] * len(missing)
+                own += [x] * (1 + len(missing))
+                numbers += [k, *none]
+                at += [-1, *range(len(missing))]
+                units += [None, *missing]
+                packed += [None if ids is None else small.compress(ids), *none]
+                places += [holes or None, *none]
+                told += [mark, *none]
+            columns = [pa.array(own, pa.int64()), part.column(0).take(pa.array(numbers, pa.int32())), pa.array(at, pa.int32())]
+            columns += [pa.array(units, pa.string()), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(told, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["x", "doc_id", "i", "unit", "packed", "places", "mark"])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                own, numbers, at, units, packed, places, marks = [], [], [], [], [], [], []
-                for k, (x, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    ids, holes, missing = (None, None, ()) if text is None else table.encode(pieces, text)
-                    own += [x] * (1 + len(missing))
-                    numbers += [k, *[None] * len(missing)]
-                    at += [-1, *range(len(missing))]
-                    units += [None, *missing]
-                    packed += [None if ids is None else small.compress(ids), *[None] * len(missing)]
-                    places += [holes or None, *[None] * len(missing)]
-                    marks += [None if text is None else _mark(text.replace(SPACE, " ").encode()), *[None] * len(missing)]
-                columns = [pa.array(own, pa.int64()), part.column(0).take(pa.array(numbers, pa.int32())), pa.array(at, pa.int32())]
-                columns += [pa.array(units, pa.string()), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(marks, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["x", "doc_id", "i", "unit", "packed", "places", "mark"])
+            gone = batch.filter(batch.column(2).is_null())
+            if gone.num_rows:
+                yield rows_of(gone, [(None, None, ())] * gone.num_rows, [None] * gone.num_rows)
+            for part in _chunks([batch.filter(batch.column(2).is_valid())], 2, CHUNK):
+                for rows, words, counts in pieces.word_arrays(part.column(2)):
+                    some = part.take(pa.array(rows))
+                    marks = [_mark(t.as_buffer()) for t in pc.replace_substring(some.column(2), SPACE, " ")]
+                    yield rows_of(some, table.encode(pieces, words, counts), marks)
 
     # The number of a row, the same when its part of the input is read again.
     numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("x"), "text")
@@ -438,7 +459,8 @@ def encode_documents(docs: DataFrame, model: str | Pieces = MODEL, id_col="doc_i
     return filled.select("doc_id", "packed", "places", "units", "mark").mapInArrow(assemble, f"doc_id {id_type}, n_pieces long, ids array<int>, decodes boolean")
 
 
-def _mark(text: bytes) -> int:
+def _mark(text) -> int:
+    """A hash of the bytes of a text."""
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 

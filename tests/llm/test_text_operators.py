@@ -499,6 +499,18 @@ def test_unigram_pieces_take_the_best_path(spark):
                     assert got[i].decodes
 
 
+def test_word_arrays():
+    pieces = lattice.Pieces.of_file()
+    rng = random.Random(1)
+    texts = ["", " ", "  ", "▁", "\n", "\n\n a", "a  b", "a ▁b", "a\n b  c\n\nd ", "▁▁ a", "a ", "x▁"]
+    texts += ["".join(rng.choice(" ab\n▁é.,") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    got = {}
+    for rows, words, counts in pieces.word_arrays(lattice.pa.array(texts)):
+        ends = np.cumsum(counts)
+        got |= {r: words.to_pylist()[e - c : e] for r, c, e in zip(rows[:300], counts, ends, strict=False)}
+    assert len(got) > 300 and all(got[r] == pieces.words(texts[r]) for r in got)
+
+
 def test_viterbi_fold(spark):
     scores = {"a": -1.0, "b": -1.0, "c": -1.0, "ab": -1.5, "bc": -1.2, "abc": -4.0}
 
