@@ -34,8 +34,8 @@ SPACE = "▁"
 MOST_CACHED = 1 << 20
 #: Beginnings of pieces that tell how long a piece may get.
 PREFIX = 4
-#: Bytes of the texts that a worker goes through at a time, about: when it counts, and when it encodes.
-COUNTED, CHUNK = 12 << 20, 4 << 20
+#: Bytes of the texts that a worker goes through at a time, about, and units that it counts together.
+CHUNK, COUNTED = 2 << 20, 500_000
 #: Units of up to so many code points keep their boundaries in the bits of one bigint.
 SHORT = 62
 
@@ -252,13 +252,25 @@ def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Da
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _chunks(batches, 0, COUNTED):
+        held, size = [], 0
+
+        def together() -> Iterator[pa.RecordBatch]:
+            told = pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")])
+            yield from told.rename_columns(["unit", "n"]).to_batches(max_chunksize=50_000)
+
+        for part in _chunks(batches, 0):
             for _, words, _ in pieces.word_arrays(part.column(0)):
                 several = words.value_counts()
                 units, each = pieces.unit_arrays(several.field(0))
                 coded = units.dictionary_encode()
                 n = np.bincount(coded.indices.to_numpy(), np.repeat(several.field(1).to_numpy(), each), len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], ["unit", "n"])
+                held.append(pa.table({"unit": coded.dictionary, "n": n.astype(np.int64)}))
+                size += len(n)
+                if size > COUNTED:
+                    yield from together()
+                    held, size = [], 0
+        if held:
+            yield from together()
 
     counts = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where("n > 1"), "sp-units")
@@ -268,13 +280,13 @@ def cached_units(rows: DataFrame, pieces: Pieces, most: int = MOST_CACHED) -> Da
     return counts.where(F.col("n") >= (least if least is not None else 2**62)).select("unit")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of about `size` bytes of the texts in `column`, a longer text alone."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about CHUNK bytes of the texts in `column`, a longer text alone."""
     for batch in batches:
         upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, "right")))
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
@@ -413,7 +425,7 @@ def encode_documents(docs: DataFrame, model: str | Pieces = MODEL, id_col="doc_i
             gone = batch.filter(batch.column(2).is_null())
             if gone.num_rows:
                 yield rows_of(gone, [(None, None, ())] * gone.num_rows, [None] * gone.num_rows)
-            for part in _chunks([batch.filter(batch.column(2).is_valid())], 2, CHUNK):
+            for part in _chunks([batch.filter(batch.column(2).is_valid())], 2):
                 for rows, words, counts in pieces.word_arrays(part.column(2)):
                     some = part.take(pa.array(rows))
                     marks = [_mark(t.as_buffer()) for t in pc.replace_substring(some.column(2), SPACE, " ")]
