@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a group of one window may hold on average before it is spread further.
 SUB_BUCKETS = 4096
 
+#: Rows that Python workers get at a time, where the session keeps Spark's default: texts are long rows.
+BATCH_ROWS = 2000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -29,6 +32,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return (base or "/tmp/checkpoints/stockwell").rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get BATCH_ROWS rows at a time, unless the session has chosen another number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,6 +61,7 @@ class Scratch:
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
+        small_batches(self.spark)
         self.path = f"{scratch_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         _made.append((self.spark, self.path))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockwell.llm.common import small_batches
+
 SEGMENT, CONTEXT = 112, 8
 HIDDEN, EMBED = 8, 8
 #: At most SAMPLE documents of each language, and PIECES windows of each, are learned from.
@@ -216,6 +218,7 @@ def predict(docs: DataFrame, network: Network, id_col="doc_id", text_col="text")
     language first in code point order. Every position of a text is labelled, however long. Repeated rows
     stay; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("lang_pred string, score double")

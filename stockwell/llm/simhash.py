@@ -27,7 +27,7 @@ BITS = 64
 #: Shingles unpacked to bits at a time, which bounds memory on very long texts.
 BLOCK = 16_384
 #: Members of a block when the texts of a large bucket are compared with each other.
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 128
 #: Cells whose parities tell unlike sets apart; a power of two and a multiple of 64.
 PARITY_BITS = 2048
 #: Texts of so few shingles are compared whatever their views are: samples of them agree less often than they are alike.

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockwell.llm.common import small_batches
+
 #: At most SAMPLE documents of each label are learned from, all of LONGEST code points at most.
 SAMPLE, LONGEST = 2500, 200_000
 #: A feature must be in so many documents, and so much more often in one label than chance, to be learned.
@@ -164,6 +166,7 @@ _RESULT = "score double, worst_score double, worst_begin int, worst_end int, n_f
 
 def score_column(spark: SparkSession, text: Column, model: Model) -> Column:
     """A struct of score, predicted (1 if score >= 0.5) and the worst sentence: see score()."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(_RESULT)
