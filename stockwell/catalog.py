@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockwell.plans import flows, joinshapes, reads, telemetry
+from stockwell.plans import analytics, flows, joinshapes, reads, telemetry, workload
 
 QUERIES, ORACLES = {}, {}
-for _module in (reads, joinshapes, flows, telemetry):
+for _module in (reads, joinshapes, flows, telemetry, workload, analytics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

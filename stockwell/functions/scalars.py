@@ -67,6 +67,61 @@ def reject_reason(service: Column, lag: Column, saturated: Column, errors: Colum
     return F.nullif(said, F.lit(""))
 
 
+def big_endian(n: Column) -> Column:
+    """The eight bytes of a bigint that is not negative; they sort as the number does."""
+    return F.unhex(F.lpad(F.hex(n), 16, "0"))
+
+
+def document_key(entity: Column, handle: Column, version: Column) -> Column:
+    """P, entity, zero byte, handle, inverted version: sorts by entity and handle, the newest version first."""
+    zero = F.unhex(F.lit("00"))
+    return F.concat(F.lit("P").cast("binary"), entity.cast("binary"), zero, big_endian(handle), big_endian(F.lit(2**63 - 1) - version))
+
+
+def merge_threshold(base: Column) -> Column:
+    """Entries that a delta has when it is merged into a base."""
+    return F.least(F.greatest(F.lit(1024), base), F.lit(200_000))
+
+
+def region_cost(count: Column, mean_ns: Column, written: Column, rate: float) -> Column:
+    """Service time plus the priced bytes that were written, in ns."""
+    return count * mean_ns + F.lit(rate) * written
+
+
+def deficit(slower: Column, own: Column) -> Column:
+    return F.try_divide(slower.cast("double"), own.cast("double"))
+
+
+def whole_if_whole(x: Column) -> Column:
+    """A number as text, without a fraction if it has none."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+#: Fixed value: the reflected polynomial of CRC-32C.
+CRC32C = 0x82F63B78
+
+
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(CRC32C), out >> 1)
+    return out.astype(np.uint32)
+
+
+@F.pandas_udf(T.LongType())
+def crc32c(text: pd.Series) -> pd.Series:
+    """CRC-32C of the UTF-8 bytes; null stays null. All rows of a batch go through their nth byte together."""
+    table, data = _crc_table(), [b"" if t is None else t.encode() for t in text]
+    sizes = np.array([len(d) for d in data], np.int64)
+    flat, at = np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes
+    crc = np.full(len(data), 0xFFFFFFFF, np.uint32)
+    rows = np.argsort(-sizes, kind="stable")
+    for nth in range(int(sizes.max(initial=0))):
+        rows = rows[: np.searchsorted(-sizes[rows], -nth, "left")]
+        crc[rows] = table[(crc[rows] ^ flat[at[rows] + nth]) & 0xFF] ^ (crc[rows] >> np.uint32(8))
+    return pd.Series((crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64)).where(text.notna().to_numpy()).astype("Int64")
+
+
 @F.pandas_udf(T.DecimalType(20, 0))
 def split_mix(seed: pd.Series, nth: pd.Series) -> pd.Series:
     """The nth (from 1) output of SplitMix64 from a seed, unsigned."""
@@ -82,15 +137,15 @@ def split_mix(seed: pd.Series, nth: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DecimalType(20, 0))
 def fnv1a(text: pd.Series) -> pd.Series:
-    """FNV-1a of the UTF-8 bytes, 64 bits, unsigned; null stays null."""
+    """FNV-1a of the UTF-8 bytes, 64 bits, unsigned; null stays null. All rows of a batch go through their nth byte together."""
     from decimal import Decimal
 
-    def one(t: str | None):
-        if t is None:
-            return None
-        h = FNV_OFFSET
-        for b in t.encode():
-            h = (h ^ b) * FNV_PRIME % (1 << 64)
-        return Decimal(h)
-
-    return pd.Series([one(t) for t in text], dtype=object)
+    data = [b"" if t is None else t.encode() for t in text]
+    sizes = np.array([len(d) for d in data], np.int64)
+    flat, at = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64), np.cumsum(sizes) - sizes
+    h = np.full(len(data), FNV_OFFSET, np.uint64)
+    rows = np.argsort(-sizes, kind="stable")
+    for nth in range(int(sizes.max(initial=0))):
+        rows = rows[: np.searchsorted(-sizes[rows], -nth, "left")]
+        h[rows] = (h[rows] ^ flat[at[rows] + nth]) * np.uint64(FNV_PRIME)
+    return pd.Series([None if t is None else Decimal(x) for t, x in zip(text, h.tolist(), strict=True)], dtype=object)

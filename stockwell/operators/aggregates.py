@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,18 +15,18 @@ def bucket_bounds() -> list[int]:
     return [0, *(int(BASE_NS * RATIO ** (i - 1) + 0.5) for i in range(1, BUCKETS))]
 
 
-def bounds_table(spark: SparkSession) -> DataFrame:
-    b = bucket_bounds()
-    rows = [(i, b[i], b[i + 1] if i + 1 < len(b) else 2**62) for i in range(len(b))]
-    return spark.createDataFrame(rows, "bucket int, lower long, upper long")
+def bucket_of(ns: Column) -> Column:
+    """The last bucket whose bound is at or below a number, from 0: a logarithm, corrected by the bounds beside it."""
+    bounds = F.array(*[F.lit(x).cast("long") for x in bucket_bounds()])
+    near = F.floor(F.log(F.greatest(ns, F.lit(1)) / BASE_NS) / F.log(F.lit(RATIO))) + 1
+    near = F.least(F.greatest(near, F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+    above = F.get(bounds, near + 1) <= ns  # null beyond the last one
+    return F.when(above, near + 1).when(F.get(bounds, near) > ns, near - 1).otherwise(near).cast("long")
 
 
 def histogram(df: DataFrame, keys: list[str], ns: str) -> DataFrame:
-    """keys, bucket, n: the last bucket whose bound is at or below the value. The 128 bounds are literals, so
-    no join: the count of bounds not above a value, less one, is its bucket."""
-    bounds = F.array(*[F.lit(x).cast("long") for x in bucket_bounds()])
-    bucket = (F.size(F.filter(bounds, lambda b: b <= F.col(ns))) - 1).cast("long")
-    return df.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """keys, bucket, n: counts by bucket_of."""
+    return df.groupBy(*keys, bucket_of(F.col(ns)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram_quantile(hist: DataFrame, keys: list[str], q: float, out: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,27 +29,23 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], bad: Column, least
     return runs.where("_bad").groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("begins")).where(F.col("length") >= least).drop("_run")
 
 
-def schedule(df: DataFrame, order: list[str], rate: str, segment: list[str]) -> Column:
-    """Due time in microseconds within a segment: the gaps 1e6 / rate of the requests before, summed."""
-    w = Window.partitionBy(*segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(F.lit(1_000_000) / F.col(rate)).over(w), F.lit(0.0))
+def schedule(df: DataFrame, seq: str, rate: str, segment: str, out: str, width: int = 4096) -> DataFrame:
+    """df with the due time in microseconds within a segment: the gaps 1e6 / rate of the requests before, summed.
 
-
-def simulate_compaction(tiles: DataFrame, most: int, budget: int) -> DataFrame:
-    """region, merges, bytes_written, left: each region's arrivals in order; beyond `most` tiles the cheapest adjacent pair merges.
-
-    A simulation with state: arrivals of a region go through one Python loop, whose state is `most` sizes.
+    Gaps are summed by ranges of `seq` (a unique bigint), the ranges' sums are prefix-summed, and rows go through
+    a window inside their range only.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        active, merges, written = [], 0, 0
-        for size in pdf.sort_values("idx")["size"]:
-            active.append(int(size))
-            while len(active) > max(1, most):
-                at = min(range(len(active) - 1), key=lambda i: (active[i] + active[i + 1] > budget, active[i] + active[i + 1], i))
-                active[at : at + 2] = [active[at] + active[at + 1]]
-                merges += 1
-                written += active[at]
-        return pd.DataFrame({"region": [pdf["region"].iloc[0]], "merges": [merges], "bytes_written": [written], "left": [len(active)]})
-
-    return tiles.groupBy("region").applyInPandas(run, "region string, merges long, bytes_written long, left long")
+    rows = df.withColumn("_gap", F.lit(1_000_000) / F.col(rate)).withColumn("_part", F.floor(F.col(seq) / width))
+    before = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    parts = rows.groupBy(segment, "_part").agg(F.sum("_gap").alias("_sum"))
+    parts = parts.select(segment, "_part", before("_sum", [segment], "_part").alias("_off"))
+    inside = before("_gap", [segment, "_part"], seq)
+    return rows.join(parts, [segment, "_part"]).withColumn(out, F.col("_off") + inside).drop("_gap", "_part", "_off")
+
+
+def saturation(df: DataFrame, keys: list[str], order: str, late: Column, least: int) -> DataFrame:
+    """df with streak, the late rows in a row up to here, and saturated (`least` or more). One row per window, so few."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.withColumn("_run", F.sum(F.when(late, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_late", late)
+    streak = F.when(F.col("_late"), F.row_number().over(Window.partitionBy(*keys, "_run", "_late").orderBy(order))).otherwise(0).cast("long")
+    return rows.withColumn("streak", streak).withColumn("saturated", F.col("streak") >= least).drop("_run", "_late")

@@ -38,18 +38,9 @@ def _outcomes(lines):
     return flow.outcomes(requests(lines), FLOW_INITIAL).select("seq", "order_no", "sku", "qty", "status")
 
 
-def _summary(done):
-    return done.groupBy("status").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("order_no").alias("orders"), F.sum("qty").alias("qty"))
-
-
-def _sliced(spark, sf_dir):
-    """The lines that the SQL of order_flow_outcomes and order_flow_summary takes; their _all forms take every line."""
-    return order_lines(spark, sf_dir).where("order_no < 4000")
-
-
 _REQUESTS = """req AS (SELECT concat_ws('|', lpad(order_no::VARCHAR, 12, '0'), lpad(line_no::VARCHAR, 12, '0'), lpad(loc::VARCHAR, 12, '0'), lpad(qty::VARCHAR, 12, '0'), lpad(day::VARCHAR, 12, '0'), lpad(sku::VARCHAR, 12, '0')) AS seq,
  'O' || lpad(order_no::VARCHAR, 8, '0') || '-' || ((line_no + sku) % 3) AS order_no, sku, qty, order_no % 10 <> 3 AS customer_known
- FROM (SELECT DISTINCT order_no, line_no, loc, qty, day, sku FROM lines WHERE order_no < 4000)),
+ FROM (SELECT DISTINCT order_no, line_no, loc, qty, day, sku FROM lines)),
 firsts AS (SELECT order_no, min(seq) AS seq, true AS first FROM req WHERE customer_known GROUP BY order_no),
 marked AS (SELECT r.*, CASE WHEN NOT customer_known THEN 'skipped' WHEN first IS NULL THEN 'rejected' END AS early FROM req r LEFT JOIN firsts f ON r.order_no = f.order_no AND r.seq = f.seq)"""
 _WALK = """walk AS (SELECT sku, list(seq ORDER BY seq) AS seqs, list(qty ORDER BY seq) AS qtys FROM marked WHERE early IS NULL GROUP BY sku),
@@ -62,31 +53,46 @@ FLOW_INITIAL = 100
 
 @query(with_images("lines", sql=f"{_REQUESTS},\n{_WALK}\nSELECT seq, order_no, sku, qty, status FROM outcome"))
 def order_flow_outcomes(spark, sf_dir):
-    return _outcomes(_sliced(spark, sf_dir))
-
-
-@query()
-def order_flow_outcomes_all(spark, sf_dir):
     return _outcomes(order_lines(spark, sf_dir))
 
 
 @query(with_images("lines", sql=f"{_REQUESTS},\n{_WALK}\nSELECT status, count(*) AS requests, count(DISTINCT order_no) AS orders, sum(qty)::BIGINT AS qty FROM outcome GROUP BY 1"))
 def order_flow_summary(spark, sf_dir):
-    return _summary(_outcomes(_sliced(spark, sf_dir)))
-
-
-@query()
-def order_flow_summary_all(spark, sf_dir):
-    return _summary(_outcomes(order_lines(spark, sf_dir)))
+    done = _outcomes(order_lines(spark, sf_dir))
+    return done.groupBy("status").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("order_no").alias("orders"), F.sum("qty").alias("qty"))
 
 
-@query("SELECT \"check\", violations::BIGINT AS violations FROM (VALUES ('on_hand_matches_movements', 0), ('on_hand_non_negative', 0), ('no_duplicate_order_no', 0), ('movement_deltas_match_orders', 0), ('movement_delta_sum', 0), ('one_movement_per_order', 0)) t(\"check\", violations)")
+_RULES = """orders_ AS (SELECT order_no, sku, qty FROM outcome WHERE status = 'ok'), backorders_ AS (SELECT order_no, sku, qty FROM outcome WHERE status = 'backorder'),
+moves_ AS (SELECT order_no, sku, -qty AS delta FROM orders_), stock_ AS (SELECT sku, s.left AS on_hand FROM lefts),
+cells_ AS (SELECT s.sku, s.on_hand, coalesce(g.moved, 0) AS moved FROM stock_ s LEFT JOIN (SELECT sku, sum(delta) AS moved FROM moves_ GROUP BY 1) g ON g.sku = s.sku),
+n_ AS (SELECT (SELECT count(*) FROM moves_) AS m, (SELECT count(*) FROM orders_) AS o, (SELECT count(*) FROM backorders_) AS b, (SELECT count(*) FROM outcome WHERE status = 'skipped') AS s,
+  (SELECT count(*) FROM outcome WHERE status = 'rejected') AS r, (SELECT count(*) FROM req) AS q, (SELECT sum(delta) FROM moves_) AS d, (SELECT sum(qty) FROM orders_) AS t,
+  (SELECT sum(on_hand) FROM stock_) AS h, (SELECT count(*) FROM stock_) AS c, (SELECT count(DISTINCT sku) FROM outcome WHERE status IN ('ok', 'backorder')) AS k)
+SELECT 'on_hand_matches_movements' AS "check", count(*) AS violations FROM cells_ WHERE on_hand <> 100 + moved
+UNION ALL SELECT 'on_hand_non_negative', count(*) FROM stock_ WHERE on_hand < 0
+UNION ALL SELECT 'cell_count', abs(c - k) FROM n_
+UNION ALL SELECT 'no_duplicate_order_no', count(*) FROM (SELECT order_no FROM (SELECT order_no FROM orders_ UNION ALL SELECT order_no FROM backorders_) GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'movement_count_is_committed_takes', abs(m - o) FROM n_
+UNION ALL SELECT 'order_count_is_committed_takes', abs(o - (q - b - s - r)) FROM n_
+UNION ALL SELECT 'backorder_count_is_committed_fallbacks', abs(b - (q - o - s - r)) FROM n_
+UNION ALL SELECT 'every_order_flow_accounted', abs(q - (o + b + s + r)) FROM n_
+UNION ALL SELECT 'no_skipped_take', s FROM n_
+UNION ALL SELECT 'movement_deltas_match_order_lines', count(*) FROM moves_ m LEFT JOIN orders_ o ON o.order_no = m.order_no WHERE o.order_no IS NULL OR o.qty <> -m.delta OR o.sku <> m.sku
+UNION ALL SELECT 'movement_delta_sum', abs(d + t)::BIGINT FROM n_
+UNION ALL SELECT 'stock_decrements_match_orders', abs(h - (100 * c - t))::BIGINT FROM n_"""
+
+
+@query(with_images("lines", sql=f"{_REQUESTS},\n{_WALK},\n{_RULES}"))
 def flow_invariants(spark, sf_dir):
-    done = _outcomes(order_lines(spark, sf_dir))
+    asked = requests(order_lines(spark, sf_dir))
+    done = flow.outcomes(asked, FLOW_INITIAL)
     orders = done.where("status = 'ok'").select("order_no", "sku", "qty")
+    backorders = done.where("status = 'backorder'").select("order_no", "sku", "qty")
+    # The stock by a fold of its own, not from what the outcomes say.
+    live = done.where("status in ('ok', 'backorder')").select("sku", "seq", "qty")
+    stock = flow.guarded_fold(live, ["sku"], ["seq"], "qty", FLOW_INITIAL).select("sku", "on_hand")
     moves = orders.select("order_no", "sku", (-F.col("qty")).alias("delta"))
-    stock = done.where("status in ('ok', 'backorder')").groupBy("sku").agg((FLOW_INITIAL - F.sum(F.when(F.col("status") == "ok", F.col("qty")).otherwise(0))).alias("on_hand"))
-    return flow.invariants(stock, moves, orders, done.where("status = 'backorder'").select("order_no", "sku", "qty"), FLOW_INITIAL)
+    return flow.invariants(stock, moves, orders, backorders, done.groupBy("status").agg(F.count(F.lit(1)).alias("n")), asked, FLOW_INITIAL)
 
 
 @query(with_images("lines", "movements", sql="""g AS (SELECT sku, loc, sum(delta)::BIGINT AS moved FROM movements GROUP BY ALL)
@@ -96,25 +102,17 @@ def stock_reconcile(spark, sf_dir):
     return flow.reconcile(stock, movements(spark, sf_dir), ["sku", "loc"], 1000).select("sku", "loc", "moved", "on_hand")
 
 
-@query("SELECT l_orderkey AS block, count(*) AS submitted, 1::BIGINT AS committed, (count(*) - 1)::BIGINT AS replays FROM lineitem GROUP BY 1")
+@query(with_images("lines", sql="""m AS (SELECT order_no AS block, row_number() OVER (PARTITION BY order_no ORDER BY line_no, sku, loc, qty, day) > 1 AS replay FROM lines)
+SELECT block, count(*) AS submitted, count(*) FILTER (WHERE NOT replay) AS committed, count(*) FILTER (WHERE replay) AS replays FROM m GROUP BY 1"""))
 def idempotent_blocks(spark, sf_dir):
     rows = order_lines(spark, sf_dir).withColumnRenamed("order_no", "block")
     marked = flow.committed_once(rows, "block", ["line_no", "sku", "loc", "qty", "day"])
     return marked.groupBy("block").agg(F.count(F.lit(1)).alias("submitted"), F.sum((~F.col("replay")).cast("long")).alias("committed"), F.sum(F.col("replay").cast("long")).alias("replays"))
 
 
-@query(with_images("lines", sql="SELECT 'Order' AS entity, 'order_no' AS field, order_no::VARCHAR AS value, count(DISTINCT sku) AS owners FROM lines WHERE order_no < 100 AND sku % 5 <> 0 GROUP BY order_no HAVING count(DISTINCT sku) > 1"))
-def unique_conflicts(spark, sf_dir):
-    return _conflicts(order_lines(spark, sf_dir).where("order_no < 100"))
-
-
 @query(with_images("lines", sql="SELECT 'Order' AS entity, 'order_no' AS field, order_no::VARCHAR AS value, count(DISTINCT sku) AS owners FROM lines WHERE sku % 5 <> 0 GROUP BY order_no HAVING count(DISTINCT sku) > 1"))
-def unique_conflicts_all(spark, sf_dir):
-    return _conflicts(order_lines(spark, sf_dir))
-
-
-def _conflicts(lines):
-    rows = lines.select(F.lit("Order").alias("entity"), F.lit("order_no").alias("field"), F.col("order_no").cast("string").alias("value"), F.col("sku").alias("owner"))
+def unique_conflicts(spark, sf_dir):
+    rows = order_lines(spark, sf_dir).select(F.lit("Order").alias("entity"), F.lit("order_no").alias("field"), F.col("order_no").cast("string").alias("value"), F.col("sku").alias("owner"))
     # One block puts every row, then releases the owners divisible by 5.
     ops = rows.distinct().withColumn("seq", F.lit(1)).withColumn("deleted", F.lit(False))
     ops = ops.unionByName(ops.where("owner % 5 = 0").withColumn("seq", F.lit(2)).withColumn("deleted", F.lit(True)))

@@ -15,17 +15,6 @@ QUERIES, ORACLES = _r.queries, _r.oracles
 query = _r.query
 
 
-@query(with_images("lines", "movements", sql="""
-l AS (SELECT DISTINCT order_no, line_no, sku, loc FROM lines WHERE order_no < 500),
-m AS (SELECT l.order_no, l.line_no, l.sku, l.loc, m.order_no AS m_order, m.delta, m.day,
-        row_number() OVER (PARTITION BY l.order_no, l.line_no, l.sku, l.loc ORDER BY m.order_no, m.line_no, m.delta, m.day) AS n
-      FROM l JOIN movements m ON m.sku = l.sku AND m.loc = l.loc AND m.day >= 300)
-SELECT m.order_no, m.line_no, m.sku, m.loc, p_brand AS brand, s_name AS supplier, n_name AS nation, m_order, delta, day
-FROM m JOIN part ON p_partkey = m.sku JOIN supplier ON s_suppkey = m.loc JOIN nation ON n_nationkey = s_nationkey WHERE n <= 128"""))
-def star_fanout(spark, sf_dir):
-    return _star(spark, sf_dir, order_lines(spark, sf_dir).where("order_no < 500"))
-
-
 @query(with_images("lines", "movements", sql="""
 l AS (SELECT DISTINCT order_no, line_no, sku, loc FROM lines),
 m AS (SELECT l.order_no, l.line_no, l.sku, l.loc, m.order_no AS m_order, m.delta, m.day,
@@ -33,12 +22,8 @@ m AS (SELECT l.order_no, l.line_no, l.sku, l.loc, m.order_no AS m_order, m.delta
       FROM l JOIN movements m ON m.sku = l.sku AND m.loc = l.loc AND m.day >= 300)
 SELECT m.order_no, m.line_no, m.sku, m.loc, p_brand AS brand, s_name AS supplier, n_name AS nation, m_order, delta, day
 FROM m JOIN part ON p_partkey = m.sku JOIN supplier ON s_suppkey = m.loc JOIN nation ON n_nationkey = s_nationkey WHERE n <= 128"""))
-def star_fanout_all(spark, sf_dir):
-    return _star(spark, sf_dir, order_lines(spark, sf_dir))
-
-
-def _star(spark, sf_dir, lines):
-    lines = lines.select("order_no", "line_no", "sku", "loc").distinct()
+def star_fanout(spark, sf_dir):
+    lines = order_lines(spark, sf_dir).select("order_no", "line_no", "sku", "loc").distinct()
     moves = movements(spark, sf_dir).where("day >= 300").select("sku", "loc", F.col("order_no").alias("m_order"), F.col("line_no").alias("m_line"), "delta", "day")
     met = joins.limit_per_parent(lines.join(moves, ["sku", "loc"]), ["order_no", "line_no", "sku", "loc"], ["m_order", "m_line", "delta", "day"], 128)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_brand").alias("brand"))
@@ -85,20 +70,10 @@ def orders_without_lines(spark, sf_dir):
     return joins.missing(table(spark, sf_dir, "orders").select("o_orderkey"), lines, ["o_orderkey"])
 
 
-@query("""SELECT o_orderkey, coalesce(c.c_name, s.s_name) AS owner FROM orders
-LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_acctbal > 0 LEFT JOIN supplier s ON s.s_suppkey = o_custkey WHERE o_orderkey < 3000""")
-def fallback_lookup(spark, sf_dir):
-    return _owners(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey < 3000"))
-
-
 @query("""SELECT o_orderkey, coalesce(c.c_name, s.s_name) AS owner FROM orders
 LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_acctbal > 0 LEFT JOIN supplier s ON s.s_suppkey = o_custkey""")
-def fallback_lookup_all(spark, sf_dir):
-    return _owners(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
-def _owners(spark, sf_dir, orders):
-    orders = orders.select("o_orderkey", "o_custkey")
+def fallback_lookup(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     first = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_name").alias("name"))
     other = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"))
     found = joins.first_match(orders, [(first, F.col("o_custkey") == F.col("c_custkey")), (other, F.col("o_custkey") == F.col("s_suppkey"))], "name", "owner")

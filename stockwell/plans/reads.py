@@ -74,35 +74,21 @@ def tile_publish(spark, sf_dir):
     return versions.publish(change_log(spark, sf_dir), 1000, 6000).select("handle", "csn", "deleted")
 
 
-@query(with_images("log", sql="""
-base AS (SELECT handle, max(csn) AS csn, arg_max(event_type, csn) AS event_type FROM log WHERE csn <= 5000 GROUP BY handle),
-newer AS (SELECT handle, max(csn) AS csn, arg_max(event_type, csn) AS event_type, arg_max(deleted, csn) AS deleted FROM log WHERE csn > 5000 AND handle % 2 = 0 GROUP BY handle)
-SELECT event_type, min(handle) AS handle FROM (
-  SELECT handle, event_type FROM base WHERE handle NOT IN (SELECT handle FROM newer)
-  UNION ALL SELECT handle, event_type FROM newer WHERE NOT deleted) GROUP BY event_type"""))
-def index_overlay(spark, sf_dir):
-    return _overlaid(change_log(spark, sf_dir), "csn > 5000 and handle % 2 = 0")
-
-
 @query(with_images("log", sql="""
 base AS (SELECT handle, max(csn) AS csn, arg_max(event_type, csn) AS event_type FROM log WHERE csn <= 5000 GROUP BY handle),
 newer AS (SELECT handle, max(csn) AS csn, arg_max(event_type, csn) AS event_type, arg_max(deleted, csn) AS deleted FROM log WHERE csn > 5000 GROUP BY handle)
-SELECT event_type, min(handle) AS handle FROM (
-  SELECT handle, event_type FROM base WHERE handle NOT IN (SELECT handle FROM newer)
-  UNION ALL SELECT handle, event_type FROM newer WHERE NOT deleted) GROUP BY event_type"""))
-def index_overlay_all(spark, sf_dir):
-    return _overlaid(change_log(spark, sf_dir), "csn > 5000")
-
-
-def _overlaid(log, delta):
-    merged = versions.overlay(versions.newest(log.where("csn <= 5000"), ["handle"]), log.where(delta))
-    return merged.groupBy("event_type").agg(F.min("handle").alias("handle"))
+SELECT handle, csn, event_type FROM base WHERE handle NOT IN (SELECT handle FROM newer)
+  UNION ALL SELECT handle, csn, event_type FROM newer WHERE NOT deleted"""))
+def index_overlay(spark, sf_dir):
+    log = change_log(spark, sf_dir)
+    merged = versions.overlay(versions.newest(log.where("csn <= 5000"), ["handle"]), log.where("csn > 5000"))
+    return merged.select("handle", "csn", "event_type")
 
 
-@query(with_images("lines", "movements", sql="SELECT order_no, line_no, sku, loc, delta, day FROM movements WHERE sku < 20 ORDER BY order_no, line_no, sku, loc, delta, day LIMIT 100"))
+@query(with_images("lines", "movements", sql="SELECT order_no, line_no, sku, loc, delta, day FROM movements ORDER BY order_no, line_no, sku, loc, delta, day LIMIT 100"))
 def top_movements(spark, sf_dir):
     by = ["order_no", "line_no", "sku", "loc", "delta", "day"]
-    return movements(spark, sf_dir).where("sku < 20").select(*by).orderBy(*by).limit(100)
+    return movements(spark, sf_dir).select(*by).orderBy(*by).limit(100)
 
 
 @query(with_images("lines", sql="SELECT order_no, line_no, sku, qty FROM (SELECT *, row_number() OVER (PARTITION BY order_no ORDER BY line_no, sku, loc, qty, day) AS n FROM lines) WHERE n <= 2"))
@@ -141,18 +127,6 @@ def scalar_names(spark, sf_dir):
         scalars.length_prefixed(F.col("c_name")).alias("prefixed"), scalars.json_key(key, F.col("c_nationkey")).alias("json_key"), scalars.saturating_sub(F.col("c_nationkey"), F.lit(10)).cast("long").alias("saturated"))
 
 
-@query("""WITH s AS (SELECT c_custkey, (c_custkey::HUGEINT + 3 * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM customer WHERE c_custkey < 200),
-a AS (SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 30)) AS x FROM s),
-m AS (SELECT c_custkey, x, (x & 4294967295)::HUGEINT AS lo, (x >> 32)::HUGEINT AS hi FROM a),
-b AS (SELECT c_custkey, ((lo * 13787848793156543929::HUGEINT) % 18446744073709551616::HUGEINT + ((hi * (13787848793156543929::HUGEINT % 4294967296)) % 4294967296) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM m),
-c AS (SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 27)) AS x FROM b),
-d AS (SELECT c_custkey, (x & 4294967295)::HUGEINT AS lo, (x >> 32)::HUGEINT AS hi FROM c),
-e AS (SELECT c_custkey, ((lo * 10723151780598845931::HUGEINT) % 18446744073709551616::HUGEINT + ((hi * (10723151780598845931::HUGEINT % 4294967296)) % 4294967296) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM d)
-SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 31))::VARCHAR AS draw FROM e""")
-def split_mix_draws(spark, sf_dir):
-    return _draws(table(spark, sf_dir, "customer").where("c_custkey < 200"))
-
-
 @query("""WITH s AS (SELECT c_custkey, (c_custkey::HUGEINT + 3 * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM customer),
 a AS (SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 30)) AS x FROM s),
 m AS (SELECT c_custkey, x, (x & 4294967295)::HUGEINT AS lo, (x >> 32)::HUGEINT AS hi FROM a),
@@ -161,12 +135,8 @@ c AS (SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 27)) AS x FROM b),
 d AS (SELECT c_custkey, (x & 4294967295)::HUGEINT AS lo, (x >> 32)::HUGEINT AS hi FROM c),
 e AS (SELECT c_custkey, ((lo * 10723151780598845931::HUGEINT) % 18446744073709551616::HUGEINT + ((hi * (10723151780598845931::HUGEINT % 4294967296)) % 4294967296) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM d)
 SELECT c_custkey, xor(z::UBIGINT, (z::UBIGINT >> 31))::VARCHAR AS draw FROM e""")
-def split_mix_draws_all(spark, sf_dir):
-    return _draws(table(spark, sf_dir, "customer"))
-
-
-def _draws(c):
-    return c.select("c_custkey", scalars.split_mix(F.col("c_custkey"), F.lit(3)).cast("string").alias("draw"))
+def split_mix_draws(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.split_mix(F.col("c_custkey"), F.lit(3)).cast("string").alias("draw"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size <= 0 THEN 1.0 ELSE round(pow(0.5, greatest(1.0, round(p_size * ln(2)))), 12) END::DOUBLE AS fpr,

@@ -69,19 +69,61 @@ def compile_request(tables: dict[str, DataFrame], blocks: dict[str, dict], param
             rows = rows.where(on)
             out[name] = rows.orderBy(*by).limit(limit) if limit else rows
             continue
-        if len(above) > 1:
-            raise ValueError(f"block {name} reads from several parent blocks; chain them instead")
-        parent = out[above[0]]
+        parent = _joined([out[p] for p in above])
+        if not limit:
+            out[name] = parent.join(rows, on)
+            continue
         keys = parent.columns
         parent = parent.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
-        met = parent.join(rows, on)
-        if limit:
-            w = Window.partitionBy(*keys, "_copy").orderBy(*by)
-            met = met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
-        out[name] = met.drop("_copy")
+        w = Window.partitionBy(*keys, "_copy").orderBy(*by)
+        met = parent.join(rows, on).withColumn("_n", F.row_number().over(w))
+        out[name] = met.where(F.col("_n") <= limit).drop("_n", "_copy")
+    return out
+
+
+def _joined(parents: list[DataFrame]) -> DataFrame:
+    """The rows of several parent blocks together: every combination, whatever ancestors they have in common.
+
+    The conditions of the block that reads from them are equalities on their fields as a rule, which the
+    optimizer moves into these joins; without any it is the product that the request asks for.
+    """
+    out = parents[0]
+    for k, p in enumerate(parents[1:]):
+        again = [c for c in p.columns if c in out.columns]
+        out = out.join(p.withColumnsRenamed({c: f"{c}__{k}" for c in again}), F.lit(True))
+    return out
+
+
+def depths(blocks: dict[str, dict]) -> dict[str, int]:
+    """Reads on the longest way from a root to each block, itself included."""
+    out: dict[str, int] = {}
+    for name in topological(blocks):
+        out[name] = 1 + max((out[p] for p in parents(blocks[name])), default=0)
     return out
 
 
+def descriptors(found: dict[str, DataFrame], blocks: dict[str, dict]) -> DataFrame:
+    """One row per dependent block: depth, parents, rows per parent row (median, most, all), parent rows without any, and the request's hops.
+
+    found: compile_request's result, where each row has the structs of its ancestors. A block has one parent here.
+    """
+    deep, hops = depths(blocks), [n for n in blocks if parents(blocks[n])]
+    rows = None
+    for name in hops:
+        above = parents(blocks[name])[0]
+        keys = found[above].columns
+        per = found[above].select(F.struct(*keys).alias("key")).distinct()
+        n = found[name].groupBy(F.struct(*keys).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        per = per.join(n, "key", "left").fillna(0, ["n"])
+        absent = F.count_if(F.col("n") == 0)
+        one = per.agg(
+            F.lit(name).alias("block"), F.lit(deep[name]).cast("long").alias("depth"), F.count(F.lit(1)).alias("parents"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"),
+            F.sum("n").alias("rows"), absent.alias("absent"), F.round(absent / F.count(F.lit(1)), 9).alias("absent_share"), F.lit(len(blocks)).cast("long").alias("read_hops"), F.lit(len(hops)).cast("long").alias("dependent_hops"),
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def fan_out(requests: DataFrame, hop: DataFrame, request: str) -> DataFrame:
     """Rows of a hop per request: the largest, the median and the sum over requests, absent ones as 0."""
     per = requests.select(request).distinct().join(hop.groupBy(request).agg(F.count(F.lit(1)).alias("n")), request, "left").fillna(0, ["n"])

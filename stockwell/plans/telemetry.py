@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockwell.operators import aggregates, layout
+from stockwell.operators import aggregates, layout, quantiles, sequences
 from stockwell.plans.registry import Registry
 from stockwell.sources.tables import table
 from stockwell.streaming import bandit, windows
@@ -59,16 +59,16 @@ def cap_and_fold(spark, sf_dir):
 
 @query(f"WITH {_T} SELECT region, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM t GROUP BY 1")
 def nearest_rank(spark, sf_dir):
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    return telemetry(spark, sf_dir).groupBy("region").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    return quantiles.exact(telemetry(spark, sf_dir), ["region"], "value", nearest={"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query(f"""WITH {_T} SELECT region, user_id % 5 AS rung, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 9) AS iqr,
  array_to_string(list_sort(list(DISTINCT user_id % 7)), ',') AS kinds FROM t GROUP BY ALL""")
 def arm_quartiles(spark, sf_dir):
-    q = lambda p: F.percentile("value", F.lit(p))
-    rows = telemetry(spark, sf_dir).groupBy("region", (F.col("user_id") % 5).alias("rung"))
-    return rows.agg(F.round(q(0.5), 9).alias("median"), F.round(q(0.75) - q(0.25), 9).alias("iqr"), F.array_join(F.array_sort(F.collect_set(F.col("user_id") % 7)), ",").alias("kinds"))
+    rows = telemetry(spark, sf_dir).withColumn("rung", F.col("user_id") % 5)
+    q = quantiles.exact(rows, ["region", "rung"], "value", linear={"median": 0.5, "q1": 0.25, "q3": 0.75})
+    kinds = rows.groupBy("region", "rung").agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id") % 7)), ",").alias("kinds"))
+    return q.join(kinds, ["region", "rung"]).select("region", "rung", F.round("median", 9).alias("median"), F.round(F.col("q3") - F.col("q1"), 9).alias("iqr"), "kinds")
 
 
 _W = "w AS (SELECT \"at\", count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, max(value) > 250 AS bad, floor(count(*) / 4)::BIGINT AS rung FROM t GROUP BY 1)"
@@ -142,7 +142,7 @@ def late_streaks(spark, sf_dir):
 SELECT event_id, coalesce(sum(1000000 / rate) OVER (PARTITION BY hour ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)::DOUBLE AS due_us FROM s""")
 def due_times(spark, sf_dir):
     rows = telemetry(spark, sf_dir).select("event_id", (F.col("at") % 24).alias("hour"), F.when(F.col("at") % 2 == 0, 200.0).otherwise(400.0).alias("rate"))
-    return rows.select("event_id", layout.schedule(rows, ["event_id"], "rate", ["hour"]).alias("due_us"))
+    return layout.schedule(rows, "event_id", "rate", "hour", "due_us").select("event_id", "due_us")
 
 
 @query(f"""WITH {_T}, c AS (SELECT "at" % 10 AS segment, count(*) AS count FROM t GROUP BY 1)
@@ -184,7 +184,12 @@ def _tiles(spark, sf_dir):
 
 @query()
 def compaction_simulation(spark, sf_dir):
-    return layout.simulate_compaction(_tiles(spark, sf_dir), 12, 60_000)
+    return sequences.simulate_compaction(_tiles(spark, sf_dir), 12, 60_000)
+
+
+@query()
+def compaction_choice(spark, sf_dir):
+    return sequences.compaction_choice(_tiles(spark, sf_dir), 60_000, 12)
 
 
 @query(f"""WITH {_T}, w AS (SELECT region, "at", quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM t GROUP BY ALL), f AS (SELECT region, min("at") AS first FROM w GROUP BY 1)

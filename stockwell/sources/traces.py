@@ -41,7 +41,7 @@ def seed_blocks(spark: SparkSession, path: str) -> DataFrame:
     schema = "block string, docs array<struct<entity: string, doc: string, unique: struct<field: string, value: string>>>"
     docs = spark.read.schema(schema).option("mode", "FAILFAST").json(path).select("block", F.inline("docs"))
     docs = docs.select("block", "entity", "doc", F.col("unique.field").alias("unique_field"), F.col("unique.value").alias("unique_value"))
-    own = F.get_json_object("doc", F.concat(F.lit("$."), F.col("unique_field")))
+    own = F.call_function("get_json_object", F.col("doc"), F.concat(F.lit("$."), F.col("unique_field")))
     wrong = (F.col("entity") != "Stock") & ~own.eqNullSafe(F.col("unique_value"))
     return docs.withColumn("doc", F.when(wrong, F.raise_error(F.lit("unique value differs from its document"))).otherwise(F.col("doc")))
 
