@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, near duplicates, repeated substrings, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns documents (doc_id, text, lang, source, n_chars), the
-last one their ids. run() writes each stage's result to the shared folder and rereads it.
+last one their ids. run() writes each stage's result to the shared folder and rereads it. Null and empty
+texts go through every stage as texts without words; a null doc_id or source is an id or source of its own;
+an empty table gives an empty result; columns other than those of documents are dropped first, so their
+names clash with nothing.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5, learned from all labels of `docs`. Without labels, none goes."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    scored = docs.withColumn("_toxicity", toxicity.score_column(spark, F.col("text"), model))
-    return scored.where("_toxicity.predicted = 0").select(*COLUMNS)
+    scored = docs.select(F.struct(*COLUMNS).alias("doc"), toxicity.score_column(spark, F.col("text"), model).alias("told"))
+    return scored.where("told.predicted = 0").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 13-word windows that an earlier document has as well go; documents stay, changed ones with single spaces."""
-    done = substring.strip(docs, carry=("lang", "source"))
+    done = substring.strip(docs.select(*COLUMNS), carry=("lang", "source"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
