@@ -65,3 +65,15 @@ def test_repeated_rows_stay_once_per_group(spark, tmp_path):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == [1, 2]
     assert got.where(F.col("doc_id") == 1).count() == 1
+
+
+def test_stages_drop_other_columns(spark, tmp_path):
+    rows = [(i, f"{'alpha beta gamma delta ' * 5}{i % 7} {i}", "en", f"s{i % 2}", 1, "r", 1, "x", 2, 3, "z", 1) for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, _k int, k string, copies int, _copy int, d string, _toxicity int"
+    spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, str(tmp_path))
+        assert done.columns == list(corpus_pipeline.COLUMNS), name
+        assert name == "toxicity" or done.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 30

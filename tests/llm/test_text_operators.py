@@ -356,6 +356,66 @@ def test_language_edges(docs, rows, none):
     assert np.allclose(whole[1], langid.document_probabilities([long], network.weights)[0]) and not whole[2].any()
 
 
+def slow_label(data, langs, w):
+    """Positions of a text one by one, in segments with their context: (language, mean probability)."""
+    h, total = langid.HIDDEN, np.zeros(len(langs))
+
+    def cell(state, byte, d):
+        a = w["E"][byte] @ w[f"W{d}"] + w[f"c{d}"]
+        z, r = (1 / (1 + np.exp(-(state @ w[f"U{d}"][:, k * h : (k + 1) * h] + a[k * h : (k + 1) * h]))) for k in (0, 1))
+        n = np.tanh((r * state) @ w[f"V{d}"] + a[2 * h :])
+        return state + z * (n - state)
+
+    for lo in range(0, len(data), langid.SEGMENT):
+        span = [data[i] if 0 <= i < len(data) else 256 for i in range(lo - langid.CONTEXT, lo + langid.SEGMENT + langid.CONTEXT)]
+        forward, backward, state = [], [], np.zeros(h)
+        for byte in span:
+            forward.append(state := cell(state, byte, "f"))
+        state = np.zeros(h)
+        for byte in reversed(span):
+            backward.append(state := cell(state, byte, "b"))
+        backward.reverse()
+        for i in range(langid.CONTEXT, langid.CONTEXT + langid.SEGMENT):
+            if span[i] < 256:
+                p = np.exp(np.concatenate([forward[i], backward[i]]) @ w["O"] + w["o"])
+                total += p / p.sum()
+    mean = total / len(data)
+    return langs[int(mean.argmax())], float(mean.max())
+
+
+def test_language_predictions_by_brute_force(spark, docs, rows):
+    network = langid.fit(spark.createDataFrame([(i, ("der und die das " if i % 2 else "the and of that ") * (3 + i), "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string"))
+    w = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    got = {r.doc_id: r for r in langid.predict(docs, network).collect() if r.doc_id is not None}
+    for i, t in ids_and_texts(rows):
+        if i is not None and len(t or "") < 2500:
+            want = slow_label(t.encode(), network.langs, w) if t and any(c.isalpha() for c in t) else ("und", 0.0)
+            assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-3
+
+
+def test_toxicity_scores_by_brute_force(docs, rows):
+    import re
+
+    words = sorted({w for _, t in ids_and_texts(rows) for w in re.findall(r"\w+", (t or "").lower())})[::9]
+    rng = random.Random(3)
+    model = toxicity.Model({w: rng.uniform(-2, 4) for w in words} | {"^" + w[:4]: 1.5 for w in words[::5] if len(w) > 5}, -3.0, -4.0)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect() if r.doc_id is not None}
+    told = 0
+    for i, t in ids_and_texts(rows):
+        if i is None:
+            continue
+        clean, flagged, best = 1 - 1 / (1 + np.exp(4.0)), 0, 1 / (1 + np.exp(4.0))
+        for sentence in re.split(r"[.!?\n]", (t or "").lower()):
+            found = {f for w in re.findall(r"\w+", sentence) for f in (w, "^" + w[:4] if len(w) > 5 else w) if f in model.weights}
+            if found:
+                p = 1 / (1 + np.exp(3.0 - sum(model.weights[f] for f in found)))
+                clean, flagged, best = clean * (1 - p), flagged + (p >= 0.5), max(best, p)
+        assert abs(got[i].score - (1 - clean)) < 1e-9 and got[i].n_flagged == flagged and abs(got[i].worst_score - best) < 1e-9
+        assert got[i].predicted == int(got[i].score >= 0.5)
+        told += flagged > 0
+    assert told > 5
+
+
 def test_toxicity(spark, docs, none, rows):
     rng = random.Random(1)
     plain = [f"w{rng.randrange(300)}" for _ in range(5000)]
@@ -430,6 +490,49 @@ def test_equal_pairs():
         assert got[s] == sum(int(w[i] == w[j]) for i in range(64) for j in range(i))
 
 
+def test_digests_by_brute_force():
+    import xxhash
+
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"abcdefgh " if k % 3 else b"ab") for _ in range(rng.randint(0, 700))) for k in range(30)]
+    texts += [texts[4], b"", b"a" * 300, texts[7][:400] + texts[8][:200]]
+    n = fingerprints.WINDOW
+    pairs = lambda t: [sum(t[s + i] == t[s + j] for i in range(n) for j in range(i)) for s in range(len(t) - n + 1)]
+    levels = [pairs(t) for t in texts]
+    counts = np.bincount([x for p in levels for x in p], minlength=fingerprints.LEVELS)
+    assert (sum(fingerprints.level_counts([t]) for t in texts) == counts).all() and (fingerprints.level_counts(texts) == counts).all()
+    order = sorted(range(fingerprints.LEVELS), key=lambda x: (x > fingerprints.MOST_EQUAL, counts[x], x))
+    rank = {x: i for i, x in enumerate(order)}
+    ranks = fingerprints.rarity(counts)
+    want = []
+    for t, p in zip(texts, levels, strict=True):
+        wins = [0] * len(p)
+        if len(p) >= fingerprints.RUN:
+            for s in range(len(p) - fingerprints.RUN + 1):
+                wins[min(range(s, s + fingerprints.RUN), key=lambda i: (rank[p[i]], i))] += 1
+        elif p:
+            wins[min(range(len(p)), key=lambda i: (rank[p[i]], i))] = fingerprints.POPULAR
+        found = [t[i : i + n] for i in range(len(p)) if wins[i] >= fingerprints.POPULAR and p[i] <= fingerprints.MOST_EQUAL] or ([t] if t else [])
+        chain = []
+        for lo in range(0, len(found), fingerprints.FILTER_FEATURES):
+            part, bits = found[lo : lo + fingerprints.FILTER_FEATURES], 0
+            for f in part:
+                raw = xxhash.xxh3_128_digest(f)
+                for k in range(fingerprints.HASHES):
+                    bits |= 1 << (fingerprints.FILTER_BITS - 1 - int.from_bytes(raw[2 * k : 2 * k + 2], "little") % fingerprints.FILTER_BITS)
+            chain.append((len(part), bits))
+        want.append(chain)
+    assert fingerprints.digests(texts, ranks) == want
+    a, b = want[7], want[-1]
+    assert fingerprints.likeness(a, a) == 1.0 and 0 <= fingerprints.likeness(a, b) <= 1 and fingerprints.likeness(a, b) == fingerprints.likeness(b, a)
+    ones = lambda x: bin(x).count("1")
+    if len(a) == len(b) == 1:
+        chance = ones(a[0][1]) * ones(b[0][1]) / fingerprints.FILTER_BITS
+        most = min(ones(a[0][1]), ones(b[0][1]))
+        low = chance + 0.3 * (most - chance)
+        assert abs(fingerprints.likeness(a, b) - min(1, max(0, (ones(a[0][1] & b[0][1]) - low) / (most - low)))) < 1e-12
+
+
 def test_fingerprints(docs, rows, none):
     assert fingerprints.edited_likeness(none).count() == 0
     got = fingerprints.edited_likeness(docs).collect()
@@ -539,3 +642,29 @@ def test_chat_collapse(spark):
     assert got[4].rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
     assert "other<im_end><|im_end|>" in got[20].rendered and got[22].rendered.startswith("<|im_start|>unknown")
     assert chatformat.collapse(df.limit(0)).count() == 0
+
+
+def test_chats_by_brute_force(spark):
+    rng = random.Random(9)
+    talk = [(rng.choice(["user", "assistant"]), f"t{rng.randrange(3)}") for _ in range(2500)]
+    chats = {1: talk, 2: talk[:-1], 3: talk, 4: talk[:1200], 5: [*talk[:1200], ("user", "else")], 6: [("user", "x" * 400_000)], 7: [("user", "x" * 400_000), ("assistant", "y")], 8: talk[1:]}
+    chats |= {c: [(rng.choice("ab"), rng.choice(["p", "q", None])) for _ in range(rng.randint(1, 5))] for c in range(20, 80)}
+    rows = [(c, k, role, text) for c, turns in chats.items() for k, (role, text) in enumerate(turns)]
+    rng.shuffle(rows)
+    got = {r.conv_id: (r.turns, r.rendered) for r in chatformat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    want = {}
+    for c, turns in chats.items():
+        longer = any(len(o) > len(turns) and o[: len(turns)] == turns for o in chats.values())
+        if not longer and not any(o == turns and d < c for d, o in chats.items()):
+            want[c] = (len(turns), "".join(f"<|im_start|>{r}\n{t or ''}<|im_end|>\n" for r, t in turns))
+    assert got == want and 5 in want and 2 not in want
+
+
+def test_mix_emits_rows_not_ids(spark):
+    rows = [(i % 40, f"{'w ' * (i % 13)}{i}", "ab"[i % 2], i) for i in range(400)] + [(7, "same same", "a", 1)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    out, told = mixing.emit(df), mixing.mix(df)
+    assert out.columns == df.columns
+    by_id = {r.doc_id: r.n for r in told.groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r.n}
+    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == by_id
+    assert out.where("text <> 'same same'").groupBy(*out.columns).count().agg(F.max("count")).first()[0] <= 3
