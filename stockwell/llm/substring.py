@@ -71,8 +71,8 @@ def anchors(a: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 
 def sketch_blocks(chars: int) -> int:
-    """Bits of the number of blocks: a word has six characters or so and a quarter of the words is an anchor."""
-    return max(0, int(np.ceil(np.log2(max(1, chars / 24 / BLOCK_ENTRIES)))))
+    """Bits of the number of blocks, 64 at least: a word has six characters or so and a quarter of the words is an anchor."""
+    return max(6, int(np.ceil(np.log2(max(1, chars / 24 / BLOCK_ENTRIES)))))
 
 
 def _entries(grams: np.ndarray, bits: int) -> np.ndarray:
