@@ -11,6 +11,59 @@ MOST_REQUEST, MOST_ID, MOST_DOC = 65_536, 1024, 65_536
 SCAN_LIMIT, SCAN_ORDER = "100", '["movement_no"]'
 
 
+#: What an order flow must say at these places, and the fields of its objects (the movement's number is its own).
+FLOW_SAYS = {
+    "$.blocks.take.needs": '["cust"]',
+    "$.blocks.take.ops[0].patch.Stock.where.sku": "$sku",
+    "$.blocks.take.ops[0].patch.Stock.where.loc": "$loc",
+    "$.blocks.take.ops[0].patch.Stock.where.on_hand.$gte": "$qty",
+    "$.blocks.take.ops[0].patch.Stock.set.$inc.on_hand": "-$qty",
+    "$.blocks.take.ops[1].put.StockMovement.sku": "$sku",
+    "$.blocks.take.ops[1].put.StockMovement.loc": "$loc",
+    "$.blocks.take.ops[1].put.StockMovement.delta": "-$qty",
+    "$.blocks.take.ops[1].put.StockMovement.order_no": "$order_no",
+    "$.blocks.take.ops[1].put.StockMovement.stock.sku": "$sku",
+    "$.blocks.take.ops[1].put.StockMovement.stock.loc": "$loc",
+    "$.blocks.take.ops[2].put.Order.order_no": "$order_no",
+    "$.blocks.take.ops[2].put.Order.buyer": "$cust._ref",
+    "$.blocks.take.ops[2].put.Order.status": "open",
+    "$.blocks.take.ops[2].put.Order.lines[0].sku": "$sku",
+    "$.blocks.take.ops[2].put.Order.lines[0].qty": "$qty",
+    "$.blocks.take.else[0].put.Backorder.sku": "$sku",
+    "$.blocks.take.else[0].put.Backorder.qty": "$qty",
+    "$.blocks.take.else[0].put.Backorder.order_no": "$order_no",
+    "$.class.retry_horizon_s": "300",
+}
+FLOW_FIELDS = {
+    "$": ["id", "class", "params", "blocks"],
+    "$.class": ["durability", "retry_horizon_s"],
+    "$.params": ["sku", "loc", "qty", "email", "order_no"],
+    "$.blocks": ["cust", "take"],
+    "$.blocks.take": ["needs", "ops", "else"],
+    "$.blocks.take.ops[0].patch.Stock": ["where", "set"],
+    "$.blocks.take.ops[0].patch.Stock.where": ["sku", "loc", "on_hand"],
+    "$.blocks.take.ops[1].put.StockMovement": ["movement_no", "sku", "loc", "delta", "order_no", "stock"],
+    "$.blocks.take.ops[2].put.Order": ["order_no", "buyer", "status", "lines"],
+    "$.blocks.take.else[0].put.Backorder": ["sku", "qty", "order_no"],
+}
+
+
+def flow_rejections(line: Column) -> Column:
+    """Why an order flow is not accepted, joined by +: fields, size, text, constant, class, qty; null if it is."""
+    at = lambda path: F.get_json_object(line, path.replace("$inc", "['$inc']").replace("$gte", "['$gte']").replace(".['", "['") if path != "$" else path)
+    every = lambda tests: F.coalesce(F.forall(F.array(*tests), lambda t: F.coalesce(t, F.lit(False))), F.lit(False))
+    counts = [F.coalesce(F.json_array_length(at(f"$.blocks.take.{part}")), F.lit(0)) == n for part, n in (("ops", 3), ("else", 1))]
+    lookups = has_exactly(at("$.blocks.cust"), ["find"]) | has_exactly(at("$.blocks.cust"), ["find", "else"])
+    fields = every([*[has_exactly(at(path) if path != "$" else line, names) for path, names in FLOW_FIELDS.items()], *counts, lookups])
+    texts = every([*[F.length(at(f"$.params.{p}")) > 0 for p in ("sku", "loc", "email", "order_no")], is_text(at("$.blocks.take.ops[1].put.StockMovement.movement_no")), F.length(at("$.id")) > 0])
+    said = F.concat_ws(
+        "+", F.when(~fields, "fields"), F.when((F.octet_length(line) > MOST_REQUEST) | (F.octet_length(at("$.id")) > MOST_ID), "size"), F.when(~texts, "text"),
+        F.when(~every([at(path) == value for path, value in FLOW_SAYS.items()]), "constant"), F.when(~F.coalesce(at("$.class.durability").isin("batched", "durable"), F.lit(False)), "class"),
+        F.when(~F.coalesce((at("$.params.qty").try_cast("long") > 0), F.lit(False)), "qty"),
+    )
+    return F.nullif(said, F.lit(""))
+
+
 def has_exactly(json: Column, fields: list[str]) -> Column:
     """Whether a JSON object has these keys and no others."""
     return F.coalesce(F.array_sort(F.json_object_keys(json)) == F.array(*[F.lit(f) for f in sorted(fields)]), F.lit(False))

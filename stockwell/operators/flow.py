@@ -44,7 +44,8 @@ def outcomes(requests: DataFrame, initial: int) -> DataFrame:
     """requests (seq unique, order_no, sku, qty, customer_known) with a status for each.
 
     skipped: no such customer, nothing is written; rejected: the order number is in use, by an order or a
-    backorder; ok: stock was taken; backorder: it was not enough. Whether a number is free does not depend
+    backorder; ok: stock was taken; backorder: it was not enough, or (where a column `stocked` says so) there
+    is no such stock. Whether a number is free does not depend
     on stock, so it is the first known request of its number; the guard is a fold per sku, streamed in
     order through sorted partitions.
     """
@@ -52,6 +53,8 @@ def outcomes(requests: DataFrame, initial: int) -> DataFrame:
     first = known.groupBy("order_no").agg(F.min("seq").alias("seq")).withColumn("first", F.lit(True))
     marked = requests.join(first, ["order_no", "seq"], "left")
     status = F.when(~F.col("customer_known"), "skipped").when(F.col("first").isNull(), "rejected")
+    if "stocked" in requests.columns:
+        status = status.when(~F.col("stocked"), "backorder")
     marked = marked.withColumn("status", status).drop("first")
     schema = ", ".join(f"{n} {t}" for n, t in marked.dtypes)
 
@@ -72,6 +75,22 @@ def outcomes(requests: DataFrame, initial: int) -> DataFrame:
     return folded.unionByName(marked.where("status is not null"))
 
 
+def replayed(done: DataFrame, again: DataFrame) -> DataFrame:
+    """seq, id, cust, take, otherwise, commit of requests and of their repeats.
+
+    done: seq, status (see outcomes) and found (which customer lookup did: find, else, or null). again: seq, id,
+    the seq of the identical request that it repeats. A committed request gets its commit back and changes
+    nothing; one that wrote nothing is judged anew, with the same result, as a number in use stays in use.
+    """
+    committed = F.col("status").isin("ok", "backorder")
+    first = done.withColumn("id", F.col("seq")).withColumn("repeat", F.lit(False))
+    later = again.join(done.withColumnRenamed("seq", "id"), "id").withColumn("repeat", F.lit(True))
+    rows = first.unionByName(later)
+    cust = F.when(F.col("repeat") & committed, "skipped").when(F.col("status") == "skipped", "empty").otherwise(F.col("found"))
+    take = F.when(F.col("status") == "backorder", "failed").when(F.col("status") == "ok", "ok").otherwise(F.col("status"))
+    return rows.select("seq", "id", cust.alias("cust"), take.alias("take"), F.when(F.col("status") == "backorder", "ok").alias("otherwise"), F.when(committed, F.col("id")).alias("commit"))
+
+
 def invariants(stock: DataFrame, moves: DataFrame, orders: DataFrame, backorders: DataFrame, counted: DataFrame, requests: DataFrame, initial: int) -> DataFrame:
     """check, violations: rows (or the size of the difference) that break each rule of the committed state; zero where it holds.
 

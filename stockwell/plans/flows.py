@@ -62,6 +62,26 @@ def order_flow_summary(spark, sf_dir):
     return done.groupBy("status").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("order_no").alias("orders"), F.sum("qty").alias("qty"))
 
 
+_FULL = _REQUESTS.replace("order_no % 10 <> 3 AS customer_known", "order_no % 10 <> 3 OR order_no % 20 = 13 AS customer_known, CASE WHEN order_no % 10 <> 3 THEN 'find' WHEN order_no % 20 = 13 THEN 'else' END AS found").replace("THEN 'rejected' END", "THEN 'rejected' WHEN sku % 7 = 0 THEN 'backorder' END")
+
+
+@query(with_images("lines", sql=f"""{_FULL},
+{_WALK.replace("m.sku, m.qty, coalesce", "m.sku, m.qty, m.found, coalesce")},
+every AS (SELECT seq, seq AS id, status, found, false AS again FROM outcome UNION ALL SELECT 'z' || seq, seq, status, found, true FROM outcome WHERE qty % 5 = 0)
+SELECT seq, id, CASE WHEN again AND status IN ('ok', 'backorder') THEN 'skipped' WHEN status = 'skipped' THEN 'empty' ELSE found END AS cust, CASE status WHEN 'backorder' THEN 'failed' ELSE status END AS take,
+ CASE WHEN status = 'backorder' THEN 'ok' END AS otherwise, CASE WHEN status IN ('ok', 'backorder') THEN id END AS commit FROM every"""))
+def order_flow_blocks(spark, sf_dir):
+    """Every case of the flow: a second customer lookup, missing stock, repeats of identical requests."""
+    rows = requests(order_lines(spark, sf_dir))
+    number = F.substring("seq", 1, 12).cast("long")
+    found = F.when(number % 10 != 3, "find").when(number % 20 == 13, "else")
+    stock = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku")).where("sku % 7 <> 0").withColumn("stocked", F.lit(True))
+    rows = rows.withColumn("found", found).withColumn("customer_known", F.col("found").isNotNull()).join(stock, "sku", "left").fillna(False, ["stocked"])
+    done = flow.outcomes(rows, FLOW_INITIAL).select("seq", "qty", "status", "found")
+    again = done.where("qty % 5 = 0").select(F.concat(F.lit("z"), "seq").alias("seq"), F.col("seq").alias("id"))
+    return flow.replayed(done.drop("qty"), again)
+
+
 _RULES = """orders_ AS (SELECT order_no, sku, qty FROM outcome WHERE status = 'ok'), backorders_ AS (SELECT order_no, sku, qty FROM outcome WHERE status = 'backorder'),
 moves_ AS (SELECT order_no, sku, -qty AS delta FROM orders_), stock_ AS (SELECT sku, s.left AS on_hand FROM lefts),
 cells_ AS (SELECT s.sku, s.on_hand, coalesce(g.moved, 0) AS moved FROM stock_ s LEFT JOIN (SELECT sku, sum(delta) AS moved FROM moves_ GROUP BY 1) g ON g.sku = s.sku),

@@ -22,6 +22,21 @@ def trace(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return lines.select("line", F.sha2("line", 256).alias("sha256"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("request"))
 
 
+def log_frames(spark: SparkSession, path: str) -> DataFrame:
+    """seq, payload of a framed log, lines of `seq crc32c payload` (hexadecimal checksum of the payload).
+
+    A last frame (the greatest seq) that does not check is a torn tail and is cut; any other fails the read.
+    """
+    from stockwell.functions.scalars import crc32c
+
+    parts = F.split("value", " ", 3)
+    rows = spark.read.text(path).select(F.get(parts, 0).try_cast("long").alias("seq"), F.get(parts, 1).alias("crc"), F.get(parts, 2).alias("payload"))
+    rows = rows.withColumn("ok", F.coalesce(F.lower(F.lpad(F.hex(crc32c("payload")), 8, "0")) == F.col("crc"), F.lit(False)))
+    last = rows.agg(F.max("seq")).first()[0]
+    fine = F.assert_true(F.col("ok") | F.col("seq").isNull() | (F.col("seq") == F.lit(last)), "bad frame").isNull()
+    return rows.where(fine).where("ok").select("seq", "payload")
+
+
 def windows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Window telemetry: lines that are JSON objects; missing numbers are 0, other lines are skipped."""
     rows = spark.read.text(path).where(F.startswith("value", F.lit("{")))

@@ -135,6 +135,54 @@ def test_request_checks(spark):
     assert got == lines
 
 
+def test_flow_requests(spark):
+    import json
+
+    good = {
+        "id": "r", "class": {"durability": "batched", "retry_horizon_s": 300}, "params": {"sku": "s", "loc": "l", "qty": 3, "email": "e", "order_no": "o"},
+        "blocks": {
+            "cust": {"find": {"Customer": {"email": "$email"}}},
+            "take": {
+                "needs": ["cust"],
+                "ops": [
+                    {"patch": {"Stock": {"where": {"sku": "$sku", "loc": "$loc", "on_hand": {"$gte": "$qty"}}, "set": {"$inc": {"on_hand": "-$qty"}}}}},
+                    {"put": {"StockMovement": {"movement_no": "m1", "sku": "$sku", "loc": "$loc", "delta": "-$qty", "order_no": "$order_no", "stock": {"sku": "$sku", "loc": "$loc"}}}},
+                    {"put": {"Order": {"order_no": "$order_no", "buyer": "$cust._ref", "status": "open", "lines": [{"sku": "$sku", "qty": "$qty"}]}}},
+                ],
+                "else": [{"put": {"Backorder": {"sku": "$sku", "qty": "$qty", "order_no": "$order_no"}}}],
+            },
+        },
+    }
+
+    def changed(path, value):
+        out = json.loads(json.dumps(good))
+        at = out
+        for p in path[:-1]:
+            at = at[p]
+        at[path[-1]] = value
+        return json.dumps(out)
+
+    take = ("blocks", "take")
+    want = {
+        json.dumps(good): None, json.dumps(good, sort_keys=True): None, changed(("more",), 1): "fields", changed(("params", "email"), ""): "text", changed(("params", "qty"), 0): "qty",
+        changed(("class", "durability"), "none"): "class", changed((*take, "needs"), []): "constant", changed((*take, "ops", 2, "put", "Order", "status"), "shut"): "constant",
+        changed((*take, "ops", 0, "patch", "Stock", "set"), {"$inc": {"on_hand": "$qty"}}): "constant", changed((*take, "ops", 1, "put", "StockMovement", "movement_no"), "$m"): "text",
+        changed(("id",), "r" * 2000): "size", changed((*take, "ops"), good["blocks"]["take"]["ops"][:2]): "fields+constant",
+    }
+    df = spark.createDataFrame([(x,) for x in want], "line string")
+    assert {r.line: r.r for r in df.select("line", checks.flow_rejections(F.col("line")).alias("r")).collect()} == want
+
+
+def test_log_frames(spark, tmp_path):
+    sums = {r.t: r.c for r in spark.createDataFrame([("one",), ("two two",), ("three",)], "t string").select("t", scalars.crc32c("t").alias("c")).collect()}
+    frames = [f"{i} {sums[t]:08x} {t}" for i, t in enumerate(sums)]
+    (tmp_path / "log").write_text("\n".join([*frames, "3 00000000 tor"]))
+    assert [(r.seq, r.payload) for r in traces.log_frames(spark, str(tmp_path / "log")).orderBy("seq").collect()] == [(0, "one"), (1, "two two"), (2, "three")]
+    (tmp_path / "bad").write_text("\n".join([frames[0], "1 00000000 two two", frames[2]]))
+    with pytest.raises(Exception, match="bad frame"):
+        traces.log_frames(spark, str(tmp_path / "bad")).collect()
+
+
 def test_puts_and_bounds(spark):
     ok = spark.createDataFrame([("{}",)], "doc string")
     assert checks.puts(ok, "doc").count() == 1
