@@ -1,15 +1,20 @@
 """Improbable-feature digests of documents.
 
-Every 64-byte window has a collision entropy, -log2 of the chance that two of its bytes are equal. How
-rare each entropy level is in the whole corpus ranks the windows; a window that is the rarest of many
-runs of 64 neighbours is a feature. Features go into a chain of Bloom filters, and two digests are
-compared filter by filter by their common bits, normalised between chance and identity.
+Every window of some bytes has a collision entropy, -log2 of the chance that two of its bytes are equal. How
+rare each entropy level is in the whole corpus ranks the windows; a window that is the rarest of many runs of
+neighbours is a feature. Features go into a chain of Bloom filters, and two digests are compared filter by
+filter by their common bits, normalised between chance and identity.
+
+Texts of 256 bytes or more have features of 64 bytes. Shorter ones would have hardly any, so texts of up to
+512 bytes have features of 12 bytes. Those between have both, in filters of their own, so that texts meet in
+one kind or the other unless one is over twice as long.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,101 +26,125 @@ from pyspark.sql.window import Window
 
 from stockwell.llm.common import materialize
 
-WINDOW = RUN = 64
-#: Runs of neighbours that a window must win to be a feature.
-POPULAR = 16
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
-#: Entropy levels: the number of equal pairs of bytes in a window. Windows over MOST_EQUAL say nothing.
-LEVELS = WINDOW * (WINDOW - 1) // 2 + 1
-MOST_EQUAL = 1000
 CHUNK = 1 << 18
 
 
-def equal_pairs(x: np.ndarray) -> np.ndarray:
-    """For each window of x (uint8, at least WINDOW long) its number of pairs of equal bytes, in 63 passes over x."""
+@dataclass(frozen=True)
+class Scale:
+    """Features of `window` bytes, of texts of `least` to `most` bytes."""
+
+    window: int
+    #: Neighbours in a run, a power of two, and the runs that a window must win to be a feature.
+    run: int
+    popular: int
+    #: Windows with more equal pairs of bytes say nothing.
+    most_equal: int
+    least: int
+    most: int
+
+    @property
+    def levels(self) -> int:
+        """Entropy levels: the possible numbers of equal pairs of bytes in a window."""
+        return self.window * (self.window - 1) // 2 + 1
+
+    def takes(self, text: bytes) -> bool:
+        return max(self.least, self.window) <= len(text) <= self.most
+
+
+COARSE = Scale(window=64, run=64, popular=16, most_equal=1000, least=256, most=1 << 62)
+FINE = Scale(window=12, run=8, popular=2, most_equal=33, least=0, most=512)
+SCALES = (COARSE, FINE)
+
+Ranks = tuple[np.ndarray, ...]  # of the levels of each scale
+
+
+def equal_pairs(x: np.ndarray, window: int) -> np.ndarray:
+    """For each window of x (uint8, at least a window long) its number of pairs of equal bytes, in window - 1 passes over x."""
     ahead, behind = np.zeros(len(x), np.uint8), np.zeros(len(x), np.uint8)
-    for lag in range(1, WINDOW):
+    for lag in range(1, window):
         same = (x[lag:] == x[:-lag]).view(np.uint8)
         ahead[:-lag] += same
         behind[lag:] += same
-    change = behind[WINDOW:].astype(np.int32) - ahead[: len(x) - WINDOW]
-    return np.concatenate([[0], np.cumsum(change)]) + int(behind[:WINDOW].sum(dtype=np.int64))
-
-
-def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(numbers of texts of WINDOW bytes or more, their joint bytes, where each begins), CHUNK bytes or one text at a time."""
-    some, size = [], 0
-    for i, t in enumerate(texts):
-        if len(t) >= WINDOW:
-            some.append(i)
-            size += len(t)
-        if some and (size >= CHUNK or i == len(texts) - 1):
-            yield some, np.frombuffer(b"".join(texts[j] for j in some), np.uint8), np.cumsum([0, *(len(texts[j]) for j in some)])
-            some, size = [], 0
-    if some:
-        yield some, np.frombuffer(b"".join(texts[j] for j in some), np.uint8), np.cumsum([0, *(len(texts[j]) for j in some)])
-
-
-def level_counts(texts: list[bytes]) -> np.ndarray:
-    total = np.zeros(LEVELS, np.int64)
-    for _, x, at in _chunks(texts):
-        pairs = equal_pairs(x)
+    change = behind[window:].astype(np.int32) - ahead[: len(x) - window]
+    return np.concatenate([[0], np.cumsum(change)]) + int(behind[:window].sum(dtype=np.int64))
+
+
+def _chunks(texts: list[bytes], some: list[int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of texts out of `some`, their joint bytes, where each begins), CHUNK bytes or one text at a time."""
+    part, size = [], 0
+    for i in some:
+        part.append(i)
+        size += len(texts[i])
+        if size >= CHUNK or i == some[-1]:
+            yield part, np.frombuffer(b"".join(texts[j] for j in part), np.uint8), np.cumsum([0, *(len(texts[j]) for j in part)])
+            part, size = [], 0
+
+
+def level_counts(texts: list[bytes], scale: Scale) -> np.ndarray:
+    """How many windows of all texts, short and long, have each level."""
+    total = np.zeros(scale.levels, np.int64)
+    for _, x, at in _chunks(texts, [i for i, t in enumerate(texts) if len(t) >= scale.window]):
+        pairs = equal_pairs(x, scale.window)
         crosses = np.zeros(len(pairs) + 1, bool)
         for b in at[1:-1].tolist():
-            crosses[max(0, b - WINDOW + 1) : b] = True
-        total += np.bincount(pairs[~crosses[:-1]], minlength=LEVELS)
+            crosses[max(0, b - scale.window + 1) : b] = True
+        total += np.bincount(pairs[~crosses[:-1]], minlength=scale.levels)
     return total
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """The rank of each level: the least frequent first, equal ones by level, levels over MOST_EQUAL last."""
-    order = np.lexsort((np.arange(LEVELS), counts, np.arange(LEVELS) > MOST_EQUAL))
-    ranks = np.empty(LEVELS, np.int64)
-    ranks[order] = np.arange(LEVELS)
+def rarity(counts: np.ndarray, scale: Scale) -> np.ndarray:
+    """The rank of each level: the least frequent first, equal ones by level, levels that say nothing last."""
+    level = np.arange(scale.levels)
+    ranks = np.empty(scale.levels, np.int64)
+    ranks[np.lexsort((level, counts, level > scale.most_equal))] = level
     return ranks
 
 
-def _features(texts: list[bytes], ranks: np.ndarray) -> list[list[bytes]]:
-    out: list[list[bytes]] = [[t] if t else [] for t in texts]
-    for some, x, at in _chunks(texts):
-        pairs = equal_pairs(x)
-        key = (ranks[pairs] << 32) + np.arange(len(pairs))
-        best = key
-        for step in (1, 2, 4, 8, 16, 32):
+def _features(texts: list[bytes], ranks: np.ndarray, scale: Scale) -> list[list[bytes]]:
+    """The features of each text that the scale takes; none of the others."""
+    out: list[list[bytes]] = [[] for _ in texts]
+    for some, x, at in _chunks(texts, [i for i, t in enumerate(texts) if scale.takes(t)]):
+        pairs = equal_pairs(x, scale.window)
+        best = key = (ranks[pairs] << 32) + np.arange(len(pairs))
+        step = 1
+        while step < scale.run:
             if len(best) > step:
                 best = np.minimum(best[:-step], best[step:])
+            step *= 2
         data = x.tobytes()
         wins = np.zeros(len(x) + 1, np.int64)
         bounds = list(zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True))
         for _, lo, hi in bounds:
-            windows = hi - lo - WINDOW + 1
-            if windows >= RUN:
-                runs = best[lo : lo + windows - RUN + 1] & 0xFFFFFFFF
+            windows = hi - lo - scale.window + 1
+            if windows >= scale.run:
+                runs = best[lo : lo + windows - scale.run + 1] & 0xFFFFFFFF
                 wins[lo : lo + windows] += np.bincount(runs - lo, minlength=windows)
             else:
-                wins[lo + int(key[lo : lo + windows].argmin())] = POPULAR
-        told = pairs <= MOST_EQUAL
-        chosen = np.flatnonzero((wins[: len(pairs)] >= POPULAR) & told)
+                wins[lo + int(key[lo : lo + windows].argmin())] = scale.popular
+        told = pairs <= scale.most_equal
+        chosen = np.flatnonzero((wins[: len(pairs)] >= scale.popular) & told)
         cut = np.searchsorted(chosen, at)
         for (i, _, _), a, b in zip(bounds, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            out[i] = [data[s : s + WINDOW] for s in chosen[a:b].tolist()] or [texts[i]]
+            out[i] = [data[s : s + scale.window] for s in chosen[a:b].tolist()]
     return out
 
 
 Digest = list[tuple[int, int]]  # (features, bits of the filter) in order
 
 
-def digests(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
-    """A text of fewer than 64 bytes, or without any window that says something, is one feature; an empty one has no filter."""
+def digests(texts: list[bytes], ranks: Ranks) -> list[Digest]:
+    """A text without any feature, as one shorter than a window, is one feature itself; an empty one has no filter."""
     out = []
-    for features in _features(texts, ranks):
+    for text, *kinds in zip(texts, *(_features(texts, r, scale) for r, scale in zip(ranks, SCALES, strict=True)), strict=True):
         chain = []
-        for lo in range(0, len(features), FILTER_FEATURES):
-            part = features[lo : lo + FILTER_FEATURES]
-            raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f) for f in part), "<u2").reshape(len(part), 8)[:, :HASHES]
-            bits = np.zeros(FILTER_BITS, np.uint8)
-            bits[raw.ravel() % FILTER_BITS] = 1
-            chain.append((len(part), int.from_bytes(np.packbits(bits).tobytes(), "big")))
+        for features in kinds if any(kinds) else [[text] if text else []]:
+            for lo in range(0, len(features), FILTER_FEATURES):
+                part = features[lo : lo + FILTER_FEATURES]
+                raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f) for f in part), "<u2").reshape(len(part), 8)[:, :HASHES]
+                bits = np.zeros(FILTER_BITS, np.uint8)
+                bits[raw.ravel() % FILTER_BITS] = 1
+                chain.append((len(part), int.from_bytes(np.packbits(bits).tobytes(), "big")))
         out.append(chain)
     return out
 
@@ -145,21 +174,24 @@ def likeness(a: Digest, b: Digest) -> float:
     return total / sum(n for n, _ in short)
 
 
-def fit_rarity(docs: DataFrame, text_col="text") -> np.ndarray:
-    """Ranks of the entropy levels over every window of every text; LEVELS sums reach the driver."""
+def fit_rarity(docs: DataFrame, text_col="text") -> Ranks:
+    """Ranks of the entropy levels over every window of every text; one sum per level reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS, np.int64)
+        totals = [np.zeros(scale.levels, np.int64) for scale in SCALES]
         for part in _small(batches):
-            total += level_counts([t.encode() for t in part.column(0).to_pylist()])
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["level", "n"])
+            texts = [t.encode() for t in part.column(0).to_pylist()]
+            for total, scale in zip(totals, SCALES, strict=True):
+                total += level_counts(texts, scale)
+        for k, total in enumerate(totals):
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["scale", "level", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    counts = np.zeros(LEVELS, np.int64)
-    for r in rows.mapInArrow(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
-        counts[r.level] = r.n
-    return rarity(counts)
+    counts = [np.zeros(scale.levels, np.int64) for scale in SCALES]
+    for r in rows.mapInArrow(count, "scale int, level long, n long").groupBy("scale", "level").agg(F.sum("n").alias("n")).collect():
+        counts[r.scale][r.level] = r.n
+    return tuple(rarity(c, scale) for c, scale in zip(counts, SCALES, strict=True))
 
 
 def edit(text: str, following: str) -> str:
@@ -179,7 +211,7 @@ _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _compare(ids: list, texts: list[str], last: str, ranks: np.ndarray) -> list[list]:
+def _compare(ids: list, texts: list[str], last: str, ranks: Ranks) -> list[list]:
     """Columns of _FIELDS for documents in a row, the last one followed by the text `last`."""
     edited = [edit(t, n).encode() for t, n in zip(texts, [*texts[1:], last], strict=True)]
     own = digests([*(t.encode() for t in texts), last.encode()], ranks)

@@ -484,44 +484,58 @@ def test_chi_square():
 
 def test_equal_pairs():
     x = np.random.default_rng(0).integers(0, 5, 300).astype(np.uint8)
-    got = fingerprints.equal_pairs(x)
-    for s in range(0, len(got), 17):
-        w = x[s : s + 64]
-        assert got[s] == sum(int(w[i] == w[j]) for i in range(64) for j in range(i))
+    for n in (12, 64):
+        got = fingerprints.equal_pairs(x, n)
+        for s in range(0, len(got), 17):
+            w = x[s : s + n]
+            assert got[s] == sum(int(w[i] == w[j]) for i in range(n) for j in range(i))
 
 
-def test_digests_by_brute_force():
+def brute_digests(texts):
+    """The ranks that `texts` have, and their digests, window by window."""
     import xxhash
 
-    rng = random.Random(7)
-    texts = [bytes(rng.choice(b"abcdefgh " if k % 3 else b"ab") for _ in range(rng.randint(0, 700))) for k in range(30)]
-    texts += [texts[4], b"", b"a" * 300, texts[7][:400] + texts[8][:200]]
-    n = fingerprints.WINDOW
-    pairs = lambda t: [sum(t[s + i] == t[s + j] for i in range(n) for j in range(i)) for s in range(len(t) - n + 1)]
-    levels = [pairs(t) for t in texts]
-    counts = np.bincount([x for p in levels for x in p], minlength=fingerprints.LEVELS)
-    assert (sum(fingerprints.level_counts([t]) for t in texts) == counts).all() and (fingerprints.level_counts(texts) == counts).all()
-    order = sorted(range(fingerprints.LEVELS), key=lambda x: (x > fingerprints.MOST_EQUAL, counts[x], x))
-    rank = {x: i for i, x in enumerate(order)}
-    ranks = fingerprints.rarity(counts)
+    ranks, kinds = [], []
+    for scale in fingerprints.SCALES:
+        n = scale.window
+        levels = [[sum(t[s + i] == t[s + j] for i in range(n) for j in range(i)) for s in range(len(t) - n + 1)] for t in texts]
+        counts = np.bincount([x for p in levels for x in p], minlength=scale.levels)
+        assert (sum(fingerprints.level_counts([t], scale) for t in texts) == counts).all() and (fingerprints.level_counts(texts, scale) == counts).all()
+        order = sorted(range(scale.levels), key=lambda x: (x > scale.most_equal, counts[x], x))
+        rank = {x: i for i, x in enumerate(order)}
+        ranks.append(fingerprints.rarity(counts, scale))
+        found = []
+        for t, p in zip(texts, levels, strict=True):
+            wins = [0] * len(p)
+            if len(p) >= scale.run:
+                for s in range(len(p) - scale.run + 1):
+                    wins[min(range(s, s + scale.run), key=lambda i: (rank[p[i]], i))] += 1
+            elif p:
+                wins[min(range(len(p)), key=lambda i: (rank[p[i]], i))] = scale.popular
+            taken = scale.least <= len(t) <= scale.most
+            found.append([t[i : i + n] for i in range(len(p)) if taken and wins[i] >= scale.popular and p[i] <= scale.most_equal])
+        kinds.append(found)
     want = []
-    for t, p in zip(texts, levels, strict=True):
-        wins = [0] * len(p)
-        if len(p) >= fingerprints.RUN:
-            for s in range(len(p) - fingerprints.RUN + 1):
-                wins[min(range(s, s + fingerprints.RUN), key=lambda i: (rank[p[i]], i))] += 1
-        elif p:
-            wins[min(range(len(p)), key=lambda i: (rank[p[i]], i))] = fingerprints.POPULAR
-        found = [t[i : i + n] for i in range(len(p)) if wins[i] >= fingerprints.POPULAR and p[i] <= fingerprints.MOST_EQUAL] or ([t] if t else [])
+    for t, *found in zip(texts, *kinds, strict=True):
         chain = []
-        for lo in range(0, len(found), fingerprints.FILTER_FEATURES):
-            part, bits = found[lo : lo + fingerprints.FILTER_FEATURES], 0
-            for f in part:
-                raw = xxhash.xxh3_128_digest(f)
-                for k in range(fingerprints.HASHES):
-                    bits |= 1 << (fingerprints.FILTER_BITS - 1 - int.from_bytes(raw[2 * k : 2 * k + 2], "little") % fingerprints.FILTER_BITS)
-            chain.append((len(part), bits))
+        for features in found if any(found) else [[t] if t else []]:
+            for lo in range(0, len(features), fingerprints.FILTER_FEATURES):
+                part, bits = features[lo : lo + fingerprints.FILTER_FEATURES], 0
+                for f in part:
+                    raw = xxhash.xxh3_128_digest(f)
+                    for k in range(fingerprints.HASHES):
+                        bits |= 1 << (fingerprints.FILTER_BITS - 1 - int.from_bytes(raw[2 * k : 2 * k + 2], "little") % fingerprints.FILTER_BITS)
+                chain.append((len(part), bits))
         want.append(chain)
+    return tuple(ranks), want
+
+
+def test_digests_by_brute_force():
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"abcdefgh " if k % 3 else b"ab") for _ in range(rng.randint(0, 700))) for k in range(30)]
+    texts += [texts[4], b"", b"abc", b"a" * 300, bytes(rng.choice(b"abcdefgh ") for _ in range(256)), bytes(rng.choice(b"abcdefgh ") for _ in range(513))]
+    texts += [texts[7][:400] + texts[8][:200]]
+    ranks, want = brute_digests(texts)
     assert fingerprints.digests(texts, ranks) == want
     a, b = want[7], want[-1]
     assert fingerprints.likeness(a, a) == 1.0 and 0 <= fingerprints.likeness(a, b) <= 1 and fingerprints.likeness(a, b) == fingerprints.likeness(b, a)
@@ -533,6 +547,19 @@ def test_digests_by_brute_force():
         assert abs(fingerprints.likeness(a, b) - min(1, max(0, (ones(a[0][1] & b[0][1]) - low) / (most - low)))) < 1e-12
 
 
+def test_short_texts_resemble_their_edited_texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(800)]
+    texts = [" ".join(rng.choices(words, k=60))[:n] for n in (60, 100, 150, 200, 250, 300, 400, 500, 520, 600) for _ in range(10)]
+    rng.shuffle(texts)
+    raw = [t.encode() for t in texts]
+    ranks = tuple(fingerprints.rarity(fingerprints.level_counts(raw, scale), scale) for scale in fingerprints.SCALES)
+    changed = [fingerprints.edit(t, n).encode() for t, n in zip(texts, [*texts[1:], texts[0]], strict=True)]
+    own, edited = fingerprints.digests(raw, ranks), fingerprints.digests(changed, ranks)
+    assert min(fingerprints.likeness(a, b) for a, b in zip(own, edited, strict=True)) > 0.1
+    assert max(fingerprints.likeness(a, b) for a, b in zip(own, own[1:], strict=False)) < 0.1
+
+
 def test_fingerprints(docs, rows, none):
     assert fingerprints.edited_likeness(none).count() == 0
     got = fingerprints.edited_likeness(docs).collect()
