@@ -256,3 +256,21 @@ def test_policy_reload_in_a_stream(spark, tmp_path):
     run = stream.writeStream.foreachBatch(held.sink(lambda batch, p: seen.append((batch.count(), p["default"]["page"])))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sum(n for n, _ in seen) == 3 and {p for _, p in seen} == {4}
+
+
+def test_sketches_are_near_exact(spark, sf_dir):
+    from bisect import bisect_left, bisect_right
+
+    from stockwell.plans import telemetry
+
+    exact = {}
+    for r in telemetry.telemetry(spark, sf_dir).collect():
+        exact.setdefault(r.region, []).append((r.user_id, r.value))
+    got = {r.region: r for r in telemetry.approximate_sketches(spark, sf_dir).collect()}
+    assert got.keys() == exact.keys()
+    for region, rows in exact.items():
+        users = len({u for u, _ in rows})
+        assert abs(got[region].users - users) <= 0.15 * users + 1  # three standard errors of 5 %
+        values = sorted(v for _, v in rows)
+        low, high = bisect_left(values, got[region].p99), bisect_right(values, got[region].p99)
+        assert low < high and low - 1 <= 0.99 * len(values) + len(values) / 10_000 and high + 1 >= 0.99 * len(values) - len(values) / 10_000
